@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from ledgerloom.llm import exact_dedup, mixing, pieces, rules, token_count, token_files
+from ledgerloom.llm import exact_dedup, language_id, mixing, pieces, quality_model, rules, token_count, token_files, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -13,6 +13,11 @@ def op1_mixing(spark, sf_dir):
     return mixing.plan(_docs(spark, sf_dir))
 
 
+def op2_quality_classifier(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return quality_model.score(docs, quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_sentencepiece(spark, sf_dir):
     return pieces.digests(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -35,5 +40,15 @@ def op8_token_counts(spark, sf_dir):
     return token_count.count_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_sentencepiece, op4_exact_dedup, op6_token_files, op7_quality_rules, op8_token_counts)}
+def op9_language_id(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return language_id.predict(docs, language_id.train(docs))
+
+
+def op10_toxicity(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_sentencepiece, op4_exact_dedup, op6_token_files, op7_quality_rules, op8_token_counts, op9_language_id, op10_toxicity)}
 ORACLES = {"op1_mixing": mixing.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_quality_rules": rules.SQL}
