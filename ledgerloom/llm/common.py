@@ -120,9 +120,16 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) ->
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POW = np.cumprod(np.concatenate([[1], np.full(4095, _BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-_FAR = np.uint64(pow(_BASE, 4096, 1 << 64))
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    factors = np.full(n, base, np.uint64)
+    factors[:1] = 1
+    return np.cumprod(factors, dtype=np.uint64)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_POW = _powers(_BASE, 4096)
+_FAR = pow(_BASE, 4096, 1 << 64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -143,8 +150,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     code = (_LOWER[taken] if fold else taken).astype(np.uint64) + np.uint64(1)
     code *= _POW[place & 4095]
     if size.max() > 4096:
-        far = np.cumprod(np.concatenate([[1], np.full(int(size.max()) // 4096, _FAR, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-        code *= far[place >> 12]
+        code *= _powers(_FAR, int(size.max()) // 4096 + 1)[place >> 12]
     return mix(np.add.reduceat(code, at[:-1]) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from ledgerloom.llm import exact_dedup, language_id, mixing, pieces, quality_model, rules, token_count, token_files, toxicity
+from ledgerloom.llm import exact_dedup, language_id, mixing, near_dedup, pieces, quality_model, rules, token_count, token_files, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -26,6 +26,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.classes(_docs(spark, sf_dir))
 
 
+def op5_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.classes(_docs(spark, sf_dir), size=4, percent=80)
+
+
 def op6_token_files(spark, sf_dir):
     return token_files.write_and_read(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,5 +54,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_sentencepiece, op4_exact_dedup, op6_token_files, op7_quality_rules, op8_token_counts, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_sentencepiece, op4_exact_dedup, op5_minhash_near_dedup, op6_token_files, op7_quality_rules, op8_token_counts, op9_language_id, op10_toxicity)}
 ORACLES = {"op1_mixing": mixing.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_quality_rules": rules.SQL}

@@ -13,7 +13,7 @@ import regex
 from ledgerloom.llm.bpe import PairTable, merge_words
 
 #: White space beyond ASCII and control characters on which regex engines differ.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: For byte-level BPE: a word with the one space before it, or white space up to that space.
 BYTE_LEVEL = re.compile("[ ]?[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+")
 #: For BPE that drops white space: words.
