@@ -28,21 +28,23 @@ def daily(view: DataFrame) -> DataFrame:
     )
 
 
-_acct = Window.partitionBy("account_id")
+def _acct():
+    return Window.partitionBy("account_id")
+
 
 
 def robust_z(days: DataFrame, column: str, out: str) -> DataFrame:
     """(x - median) / (1.4826 MAD) within the account; MAD 0: standard deviation; that 0: 1."""
     x = F.col(column).cast("double")
-    d = days.withColumn("_med", F.percentile(x, F.lit(0.5)).over(_acct)).withColumn("_dev", F.abs(x - F.col("_med")))
-    d = d.withColumn("_mad", 1.4826 * F.percentile("_dev", F.lit(0.5)).over(_acct)).withColumn("_sd", F.stddev_pop(x).over(_acct))
+    d = days.withColumn("_med", F.percentile(x, F.lit(0.5)).over(_acct())).withColumn("_dev", F.abs(x - F.col("_med")))
+    d = d.withColumn("_mad", 1.4826 * F.percentile("_dev", F.lit(0.5)).over(_acct())).withColumn("_sd", F.stddev_pop(x).over(_acct()))
     scale = F.when(F.col("_mad") > 0, F.col("_mad")).when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0))
     return d.withColumn(out, (x - F.col("_med")) / scale).drop("_med", "_dev", "_mad", "_sd")
 
 
 def suspicion(days: DataFrame) -> DataFrame:
     """days with score: the mean of symmetry, volume burst, velocity burst, structuring and round shares, 12 places."""
-    d = days.withColumn("_total", F.col("credit") + F.col("debit")).withColumn("_days", F.count("*").over(_acct))
+    d = days.withColumn("_total", F.col("credit") + F.col("debit")).withColumn("_days", F.count("*").over(_acct()))
     d = robust_z(robust_z(d, "_total", "_zt"), "n_txn", "_zn")
     burst = lambda z: F.when(F.col("_days") > 2, clip(F.col(z) / 4.0, 0.0, 1.0)).otherwise(F.lit(0.0))
     per = F.greatest("n_txn", F.lit(1))
@@ -52,12 +54,12 @@ def suspicion(days: DataFrame) -> DataFrame:
 
 def otsu(scores: DataFrame) -> DataFrame:
     """account_id, threshold, separation: the 64-bin split with the largest between-class variance, its first bin's middle."""
-    top = F.greatest(F.max("score").over(_acct), F.lit(1e-9))
+    top = F.greatest(F.max("score").over(_acct()), F.lit(1e-9))
     binned = scores.withColumn("_hi", top).withColumn("bin", F.least(F.floor(F.col("score") / F.col("_hi") * BINS), F.lit(BINS - 1)).cast("int"))
     h = binned.groupBy("account_id", "_hi", "bin").agg(F.count("*").alias("n"))
     mid = (F.col("bin") + 0.5) * F.col("_hi") / BINS
     up = Window.partitionBy("account_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("_nm", F.col("n") * mid).withColumn("_n", F.sum("n").over(_acct)).withColumn("_m", F.sum("_nm").over(_acct))
+    h = h.withColumn("_nm", F.col("n") * mid).withColumn("_n", F.sum("n").over(_acct())).withColumn("_m", F.sum("_nm").over(_acct()))
     h = h.withColumn("_n0", F.sum("n").over(up)).withColumn("_m0", F.sum("_nm").over(up)).filter("_n0 is not null")
     n1 = F.col("_n") - F.col("_n0")
     gap = F.col("_m0") / F.col("_n0") - (F.col("_m") - F.col("_m0")) / n1
