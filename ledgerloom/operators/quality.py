@@ -218,14 +218,18 @@ def hardened(df: DataFrame, target: str, keep: tuple[str, ...] = ()) -> tuple[Da
 
     rest = lambda d: [c for c in d.columns if c != target]
     flagged = lambda f, c="drop": [r.column for r in f.filter(c).collect()]
+    from ledgerloom.sources.io import written
+
+    df = written(df, "matrix")  # every step reads the table anew, so plans must not grow with the steps
     df = drop(df, "identifiers", identifiers(df, target))
     df = drop(df, "leak_names", [c for c in df.columns if re.search(POST_OUTCOME, c) or re.search(STRUCTURAL, c)])
     for c in [r.column for r in profile(df).filter("is_categorical").collect()]:
         df = encode_onehot(df, c)
     df = df.select(*[F.expr(f"try_cast(`{c}` AS double)").alias(c) if c != target else F.col(c) for c in df.columns])
+    df = written(df, "matrix")
     df = drop(df, "partitions", flagged(partitions(df, target, rest(df)), "is_partition"))
     df = drop(df, "blank_gap", flagged(blank_gap(df, target, rest(df))))
-    df = zero_fill(df)
+    df = written(zero_fill(df), "matrix")
     df = drop(df, "sparse", flagged(sparse(df, rest(df))))
     df = drop(df, "leak_correlation", flagged(target_correlation(df, target, rest(df))))
     df = drop(df, "constant", flagged(constant(df, rest(df))))
