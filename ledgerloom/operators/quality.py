@@ -155,12 +155,19 @@ def constant(df: DataFrame, names: list[str]) -> DataFrame:
 def collinear(df: DataFrame, names: list[str], protected: tuple[str, ...] = ()) -> DataFrame:
     """a, b, corr of column pairs (mean-filled) beyond the limit; b, the later one, is to drop unless protected.
 
-    All pairs of the columns in one aggregate: sums of products, not a join.
+    One distributed matrix product; only the k x k matrix comes to the driver.
     """
-    means = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in names])
-    filled = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in names]).crossJoin(F.broadcast(means.select(*[F.col(c).alias(f"_{c}") for c in names]))).select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) for c in names])
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(F.col(a), F.col(b)).alias("r")) for i, a in enumerate(names) for b in names[i + 1 :]]
-    return filled.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b", F.round("p.r", 6).alias("corr"), (~F.col("p.b").isin(*protected) if protected else F.lit(True)).alias("drop")).filter(F.abs("corr") > MAX_CORR)
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    clean = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    means = df.agg(*[F.avg(clean(c)).alias(c) for c in names]).first()
+    filled = df.select(*[F.coalesce(clean(c), F.lit(float(means[c] or 0.0))).alias(c) for c in names])
+    rows = []
+    if len(names) > 1 and not filled.isEmpty():
+        r = Correlation.corr(VectorAssembler(inputCols=names, outputCol="_x").transform(filled), "_x").first()[0].toArray()
+        rows = [(names[i], names[j], round(float(r[i, j]), 6), names[j] not in protected) for i in range(len(names)) for j in range(i + 1, len(names)) if abs(r[i, j]) > MAX_CORR]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double, drop boolean")
 
 
 def separation(df: DataFrame, target: str, names: list[str]) -> DataFrame:
