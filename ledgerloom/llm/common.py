@@ -62,9 +62,9 @@ def with_group(df: DataFrame, keys: list[str], spread: Column, stats: dict[str,
     return salted.join(total, by).drop("_salt")
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; extra columns of the caller, clashing or not, go no further."""
-    return df.select(*names)
+def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The keys beside `_row`, which holds all columns of docs: no name of the caller can clash with an operator's."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in keys.items()])
 
 
 # ---------------------------------------------------------------- text in Arrow batches

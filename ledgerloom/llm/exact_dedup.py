@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import materialise, with_group
+from ledgerloom.llm.common import boxed, materialise, with_group
 
 BLOCK, SALTS = 8192, 32
 
@@ -74,9 +74,9 @@ def classes(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all their columns."""
     stay = classes(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_sha_", F.sha2(fold(F.col("text")), 256))
-    held = keyed.join(stay, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_sha_") == F.col("_sha")), "left_semi")
-    return held.dropDuplicates(["_key", "_sha_"]).drop("_key", "_sha_")
+    keyed = boxed(docs, _key=F.col("doc_id").cast("long"), _digest=F.sha2(fold(F.col("text")), 256))
+    held = keyed.join(stay, keyed["_key"].eqNullSafe(stay["_id"]) & (keyed["_digest"] == stay["_sha"]), "left_semi")
+    return held.dropDuplicates(["_key", "_digest"]).select("_row.*")
 
 
 SQL = """

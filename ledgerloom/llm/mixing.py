@@ -37,7 +37,7 @@ def word_count(text: Column) -> Column:
 def _keyed(docs: DataFrame, buckets: int) -> DataFrame:
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return docs.select(
-        F.struct(*[docs[c] for c in dict.fromkeys(docs.columns)]).alias("_row"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
         F.col("doc_id").cast("long").alias("_id"),
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))).alias("_src"),
         word_count(F.col("text")).alias("_size"),

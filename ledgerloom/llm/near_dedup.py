@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import flat, gram_hashes, materialise, mix, slices, with_group, word_hashes, words
+from ledgerloom.llm.common import boxed, flat, gram_hashes, materialise, mix, slices, with_group, word_hashes, words
 
 ROWS, BANDS, BITS = 5, 32, 4
 HASHES = ROWS * BANDS
@@ -283,4 +283,5 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, all their columns: one document of each group."""
     stay = classes(docs, size, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_id"]), "left_semi")
+    keyed = boxed(docs, _key=F.col("doc_id").cast("long"))
+    return keyed.join(stay, keyed["_key"].eqNullSafe(stay["_id"]), "left_semi").select("_row.*")
