@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.metrics import folds
 from ledgerloom.sources.io import written
+from ledgerloom.shipping import ship
 
 ISOTONIC_FROM = 100
 
@@ -108,6 +109,8 @@ class IsolationForest:
         """key, p_iso: the score scaled by the sample's range, 0..1."""
         names = self.names
 
+        ship(df.sparkSession)
+
         def run(batches):
             for b in batches:
                 x = np.column_stack([b[c].to_numpy(zero_copy_only=False) for c in names]) if b.num_rows else np.zeros((0, len(names)))
