@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import boxed, flat, gram_hashes, materialise, mix, slices, with_group, word_hashes, words
+from ledgerloom.shipping import ship
 
 ROWS, BANDS, BITS = 5, 32, 4
 HASHES = ROWS * BANDS
@@ -97,6 +98,8 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """Per row: rid, doc_id, h (of the text), n (set size), d1 and d2 (the set's digest), bands, sketch."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         for b in slices(batches, "text"):
@@ -203,6 +206,8 @@ def links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
 def _confirm(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """rows: p, ub, mb, node, comp, q, t -> links (a, b) between queries and targets of equal (p, ub, mb)."""
 
+    ship(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, ["p", "ub", "mb"]):
             if e := links(table, percent):
@@ -236,6 +241,8 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     wanted = member.select("node").unionByName(member.select(F.col("p").alias("node"))).distinct().join(own.select("node", "_id", "_h"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
 
+    ship(docs.sparkSession)
+
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b["node"], _lists([s.view(np.int64) for s in shingle_sets(b["text"], size)])], ["node", "items"])

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.llm.bpe import PairTable, merge_words
 from ledgerloom.llm.common import slices
+from ledgerloom.shipping import ship
 
 SPACE = "▁"
 
@@ -143,6 +144,8 @@ def model(path: str) -> PieceModel:
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id and its ids as ARRAY<INT>."""
 
+    ship(docs.sparkSession)
+
     def run(batches):
         m = model(path)
         for b in slices(batches, "text"):
@@ -156,6 +159,8 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Per row of encode(): doc_id and the decoded text."""
 
+    ship(encoded.sparkSession)
+
     def run(batches):
         m = model(path)
         for b in batches:
@@ -168,6 +173,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """encode() then decode() of whole texts in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
+    ship(docs.sparkSession)
+
     def run(batches):
         m = model(path)
         sha = lambda x: hashlib.sha256(x).hexdigest()

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.llm.common import slices
 from ledgerloom.llm.token_cache import BYTE_LEVEL, CachedTokenizer
+from ledgerloom.shipping import ship
 
 #: Entries of the broadcast table, and counters that a task's summary may hold while it runs.
 TABLE, COUNTERS = 32_768, 200_000
@@ -46,6 +47,8 @@ def merge(a: bytes, b: bytes, size: int = TABLE) -> bytes:
 def frequent(docs: DataFrame, text_column: str = "text", size: int = TABLE, counters: int = COUNTERS) -> dict[str, int]:
     """Heavy-hitter pre-tokens of the whole column, at most `size`."""
 
+    ship(docs.sparkSession)
+
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for b in slices(batches, "text"):
@@ -81,6 +84,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_column: str
     table = spark.sparkContext.broadcast(own.cache)
     name = uuid.uuid4().hex
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _worker(path, name, table)
         for b in slices(batches, "text"):

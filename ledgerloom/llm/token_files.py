@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.llm.common import materialise, new_path, slices
 from ledgerloom.llm.token_cache import WORDS, CachedTokenizer
+from ledgerloom.shipping import ship
 
 HEADER = struct.Struct("<4sBBHIIQQQQ")
 BLOCK, SHARD = 4096, 1 << 20
@@ -110,6 +111,8 @@ _tokenizers: dict = {}
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shard_tokens: int = SHARD) -> None:
     """Encodes all documents, each followed by end_id, into files under `path`."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _tokenizers:
             _tokenizers[tokenizer_path] = CachedTokenizer(tokenizer_path, WORDS)
@@ -144,6 +147,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shar
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: part, doc_id, start within the part, n_tokens, ids_crc32."""
 
+    ship(spark)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for value in b["content"]:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import labelled
 from ledgerloom.llm.common import slices
+from ledgerloom.shipping import ship
 
 TRAIN_ROWS, SIZE = 12_000, 4_000
 
@@ -175,6 +176,8 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, mod: int =
     """Per row: doc_id, held_out, score, predicted (1 where score >= threshold)."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             s = shared.value.scores(b["text"].to_pylist())
