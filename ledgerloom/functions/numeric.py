@@ -1,6 +1,6 @@
 """Column expressions that stay defined where the inputs are not: zero divisors, nulls, ties."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,11 +28,23 @@ def either_null(a: Column, b: Column, then: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(then)
 
 
-def rank_share(x: Column, *by: str) -> Column:
-    """Rank over count with ties averaged. Without `by` this is one ordered pass over all rows."""
-    order = Window.partitionBy(*by).orderBy(x)
-    ties, every = Window.partitionBy(*by, x), Window.partitionBy(*by)
-    return (F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2) / F.count(F.lit(1)).over(every)
+def rank_shares(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """key, column, share: rank over count of each value within its column, ties averaged.
+
+    Values are counted first, then numbered within ranges cut at approximate quantiles, so neither a whole column
+    nor a value that most rows share is ever sorted in one task.
+    """
+    cells = rows.select(key, *names).unpivot([key], names, "column", "x")
+    cuts = cells.groupBy("column").agg(F.percentile_approx("x", F.array(*[F.lit(i / 256) for i in range(1, 256)]), 1000).alias("q"))
+    values = cells.groupBy("column", "x").agg(F.count("*").alias("n")).join(F.broadcast(cuts), "column")
+    values = values.select("column", "x", "n", F.size(F.filter("q", lambda e: e < F.col("x"))).alias("range"))
+    before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = values.groupBy("column", "range").agg(F.sum("n").alias("m"))
+    ranges = ranges.select("column", "range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy("column")).alias("all"))
+    inside = Window.partitionBy("column", "range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    shares = values.join(ranges, ["column", "range"]).select("column", "x", ((below + (F.col("n") + 1) / 2) / F.col("all")).alias("share"))
+    return cells.join(shares, ["column", "x"]).select(key, "column", "share")
 
 
 def near_any(amount: Column, limits: tuple[float, ...], band: float = 0.10) -> Column:

@@ -181,7 +181,9 @@ def missingness_audit(df: DataFrame, names: list[str], key: str, target: str = "
 
     weak = [r.column for r in target_correlation(df, target, names).filter(F.abs("corr") < 0.05).collect()] or names[:1]
     blanks = df.select(key, target, *[F.col(c).isNull().cast("double").alias(c) for c in names])
-    shuffled = df.drop(target).join(df.select(key, target).withColumn("_k", F.row_number().over(_by_hash(key, 1))).join(df.select(F.col(key).alias("_other")).withColumn("_k", F.row_number().over(_by_hash("_other", 2))), "_k").select(F.col("_other").alias(key), target), key)
+    share = int((df.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0) * 1_000_000)
+    # labels drawn by hash at the same rate: no relation to the rows, and no shuffle of all rows
+    shuffled = df.withColumn(target, (F.pmod(F.xxhash64(F.col(key), F.lit("shuffled")), F.lit(1_000_000)) < share).cast("int"))
     out = None
     for test, frame, cols in (("missingness", blanks, names), ("weak_columns", df, weak), ("shuffled_labels", shuffled, names)):
         rows = written(folds(frame.withColumnRenamed(key, "id"), k).select("id", target, "fold", *cols), "audit")
@@ -195,12 +197,6 @@ def missingness_audit(df: DataFrame, names: list[str], key: str, target: str = "
     return out
 
 
-def _by_hash(key: str, seed: int):
-    from pyspark.sql.window import Window
-
-    return Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-
-
 def degradation(df: DataFrame, names: list[str], key: str, target: str = "y", rates: tuple[float, ...] = (0.0, 0.25, 0.5)) -> DataFrame:
     """rate, auprc of a model fitted on rows with hashed column dropout, when that share of cells is missing."""
     from ledgerloom.operators.metrics import average_precision

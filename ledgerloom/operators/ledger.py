@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numeric import clip, div0, near_any, rank_share
+from ledgerloom.functions.numeric import clip, div0, near_any, rank_shares
 
 REQUIRED = ("src", "dst", "amount", "ts")
 #: Fixed values of the feature definitions.
@@ -91,11 +91,7 @@ def rank_blend(frame: DataFrame) -> DataFrame:
         used.append(F.round(1 - F.col("retention"), 9))
     names = [f"_r{i}" for i in range(len(used))]
     f = frame.select("account_id", *[u.alias(n) for u, n in zip(used, names, strict=True)])
-    ranks = f.select("account_id", *[rank_share(F.col(n)).alias(n) for n in names])
-    total = ranks[names[0]]
-    for n in names[1:]:
-        total = total + ranks[n]
-    return ranks.select("account_id", (total / len(names)).alias("is_mule"))
+    return rank_shares(f, "account_id", names).groupBy("account_id").agg(F.avg("share").alias("is_mule"))
 
 
 # ---- the same in DuckDB's SQL
