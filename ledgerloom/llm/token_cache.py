@@ -20,6 +20,8 @@ BYTE_LEVEL = re.compile("[ ]?[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0
 WORDS = re.compile("[^ \t\n\x0b\x0c\r]+")
 #: Parts whose characters every Unicode version classes, lower-cases and normalises alike.
 PLAIN = re.compile("[ !-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+#: Any other character but ASCII white space.
+NOT_PLAIN = re.compile("[^ !-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\t\n\x0b\x0c\r]")
 
 
 def _byte_chars() -> list[str]:
@@ -35,7 +37,7 @@ class CachedTokenizer:
     hot: entries that are never dropped; limit: the number of entries at which the others go.
     """
 
-    def __init__(self, path: str, pattern: re.Pattern, lengths: bool = False, hot: dict | None = None, limit: int = 250_000):
+    def __init__(self, path: str, pattern: re.Pattern, lengths: bool = False, hot: dict | None = None, limit: int = 350_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -43,7 +45,10 @@ class CachedTokenizer:
         self.lib.no_padding()
         self.special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
         self.mark = max(self.special, key=self.special.get)
-        self.pattern, self.lengths, self.limit = pattern, lengths, limit
+        # where a text has no odd white space, split() cuts at the same places as WORDS
+        self.by_word = pattern is WORDS
+        self.parts = pattern.findall
+        self.lengths, self.limit = lengths, limit
         self.hot = dict(hot or {})
         self.cache: dict = dict(self.hot)
         spec = json.loads(self.lib.to_str())
@@ -56,25 +61,49 @@ class CachedTokenizer:
         if pre["type"] == "ByteLevel":  # the pattern that this pre-tokenizer has built in
             self.pre_tokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         else:
-            self.pre_tokens = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"]).findall
+            spec_pattern = pre["pretokenizers"][0]["pattern"]["Regex"]
+            self.pre_tokens, self.words_and_spaces = regex.compile(spec_pattern).findall, regex.compile(spec_pattern + "| ").findall
         size = self.lib.get_vocab_size(with_added_tokens=True)
         self.bits = max(1, (size - 1).bit_length())
         self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
 
     def whole(self, text: str) -> bool:
-        return any(s in text for s in self.special) or ODD_SPACE.search(text) is not None
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else ODD_SPACE.search(text) is not None
+        return odd or any(s in text for s in self.special)
 
     def encode_whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind)
 
     def learn(self, parts: set) -> None:
+        """Fills the cache; the parts may hold any characters."""
+        new = self._new(parts)
+        plain = PLAIN.fullmatch
+        self._learn_merged([p for p in new if plain(p)])
+        self._learn_by_library([p for p in new if not plain(p)])
+
+    def _new(self, parts: set) -> list:
         new = list(parts.difference(self.cache))
         if len(self.cache) + len(new) > self.limit:
             self.cache = dict(self.hot)
             new = list(parts.difference(self.cache))
-        plain = PLAIN.fullmatch
-        self._learn_merged([p for p in new if plain(p)])
-        self._learn_by_library([p for p in new if not plain(p)])
+        return new
+
+    def _learn_words(self, parts: list) -> None:
+        """Plain lower-case words: one pass of the pre-tokenizer over all of them, with a space between words."""
+        for i in range(0, len(parts), 20_000):
+            some = parts[i : i + 20_000]
+            flat = [x.encode() for x in self.words_and_spaces(" ".join(some))]
+            sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+            raw = np.frombuffer(b"".join(flat), np.uint8)
+            space = raw[np.cumsum(sizes) - sizes] == 32
+            word = np.cumsum(space)[~space]
+            sizes, raw = sizes[~space], raw[raw != 32]
+            symbols, last = self.of_byte[raw], np.cumsum(sizes) - 1
+            if self.of_last is not None:
+                symbols[last] = self.of_last[raw[last]]
+            ids, number = merge_words(symbols, sizes, self.pairs)
+            total = np.bincount(word, number, len(some)).astype(np.int64)
+            self._keep(some, ids, np.cumsum(total), total)
 
     def _keep(self, parts, ids, ends, number) -> None:
         if self.lengths:
@@ -113,8 +142,28 @@ class CachedTokenizer:
 
     def cut(self, texts: list) -> list:
         """Parts of each text, or None for a text that goes to the library whole; fills the cache."""
-        cut = [None if self.whole(t) else self.pattern.findall(t) for t in texts]
-        self.learn(set().union(*[c for c in cut if c]))
+        if not self.by_word:
+            cut = [None if self.whole(t) else self.parts(t) for t in texts]
+            self.learn(set().union(*[c for c in cut if c]))
+            return cut
+        cut, plain, other = [], set(), set()
+        for t in texts:
+            if self.whole(t):
+                cut.append(None)
+            elif NOT_PLAIN.search(t) is None:
+                cut.append((t.lower() if self.lower else t).split())
+                plain.update(cut[-1])
+            else:
+                cut.append(t.split())
+                other.update(cut[-1])
+        seen = plain | other
+        if len(self.cache) + len(seen.difference(self.cache)) > self.limit:
+            # what these texts use again stays: mostly the frequent words
+            self.cache = self.hot | {w: self.cache[w] for w in seen.intersection(self.cache)}
+        self._learn_words(list(plain.difference(self.cache)))
+        self.learn(other)
+        if not plain <= self.cache.keys():  # learn() made room
+            self._learn_words(list(plain.difference(self.cache)))
         return cut
 
     def count(self, texts: list) -> list[int]:

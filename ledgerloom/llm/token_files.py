@@ -115,7 +115,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _tokenizers:
-            _tokenizers[tokenizer_path] = CachedTokenizer(tokenizer_path, WORDS)
+            _tokenizers[tokenizer_path] = CachedTokenizer(tokenizer_path, WORDS, limit=800_000)
         t = _tokenizers[tokenizer_path]
         part, shard, before, held = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids, ids = [], []
