@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import labelled
 from ledgerloom.llm.common import flat, gram_hashes, slices, word_hashes
+from ledgerloom.shipping import ship
 
 TRAIN_ROWS, BITS = 12_000, 18
 
@@ -75,11 +76,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(column) + self.shift, -35, 35)))
 
 
-def _descend(values, index, starts, y, size, c, epochs, seed=7):
-    """Dual coordinate descent for the hinge loss; the last entry of w is the bias."""
+def _descend(values, index, spans, y, size, c, epochs, seed=7):
+    """Dual coordinate descent for the hinge loss over rows values[a:b], index[a:b]; the last entry of w is the bias."""
     w = np.zeros(size + 1, np.float64)
     alpha, order = np.zeros(len(y)), np.random.default_rng(seed)
-    spans = [(int(a), int(b)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
     norm = np.array([float(values[a:b] @ values[a:b]) + 1.0 for a, b in spans])
     for _ in range(epochs):
         worst = 0.0
@@ -112,14 +112,12 @@ def fit(row: np.ndarray, index: np.ndarray, y: np.ndarray, bits: int = BITS, c:
     q = smooth + np.bincount(index[learn[row] & (y[row] == 0)], minlength=size)
     m.ratio = (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float32)
     m.ratio[(p == smooth) & (q == smooth)] = 0
-    values = m.ratio[index].astype(np.float64)
-    length = np.sqrt(np.bincount(row, values**2, len(y)))
-    values /= np.maximum(length, 1e-9)[row]
-    starts = np.searchsorted(row, np.arange(len(y) + 1))
+    values = m.ratio[index]
+    length = np.sqrt(np.bincount(row, values * values, len(y)))
+    values /= np.maximum(length, 1e-9).astype(np.float32)[row]
+    starts = np.searchsorted(row, np.arange(len(y) + 1)).tolist()
     ids = np.flatnonzero(learn)
-    take = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in ids]) if len(ids) else np.zeros(0, np.int64)
-    own = np.concatenate([[0], np.cumsum(np.diff(starts)[ids])])
-    w = _descend(values[take], index[take], own, np.where(y[ids] == 1, 1.0, -1.0), size, c, epochs)
+    w = _descend(values, index, [(starts[i], starts[i + 1]) for i in ids.tolist()], np.where(y[ids] == 1, 1.0, -1.0), size, c, epochs)
     m.weights, m.bias = (w[:-1] * m.ratio).astype(np.float32), float(w[-1])
     margin = np.bincount(row, w[index] * values, len(y)) + w[-1]
     m.slope, m.shift = labelled.logistic(margin[~learn], y[~learn])
@@ -129,6 +127,8 @@ def fit(row: np.ndarray, index: np.ndarray, y: np.ndarray, bits: int = BITS, c:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, bits: int = BITS) -> Model:
     """Fits on at most `rows` labelled texts that are not held out; their hashed n-grams come to the driver."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             row, index = features(b["text"], bits)
@@ -138,14 +138,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     found = labelled.sample(docs, labels, label, rows).mapInArrow(run, "_id long, label int, grams array<int>").toArrow().sort_by("_id")
     y = found["label"].to_numpy()
     grams = found["grams"].combine_chunks() if len(found) else pa.array([], pa.list_(pa.int32()))
+    del found
     sizes = np.diff(grams.offsets.to_numpy()) if len(grams) else np.zeros(0, np.int64)
-    return fit(np.repeat(np.arange(len(y)), sizes), grams.flatten().to_numpy().astype(np.int64), y, bits)
+    # 32-bit arrays, and no copies by row: the driver holds about 12 bytes an n-gram of the sample
+    return fit(np.repeat(np.arange(len(y), dtype=np.int32), sizes), grams.flatten().to_numpy(), y, bits)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, mod: int = 5, held: int = 0) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted (1 where score >= threshold)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             s = shared.value.scores(b["text"])

@@ -97,7 +97,7 @@ def test_quality(spark, docs, none):
 
 def test_descent_finds_the_margin():
     x = np.array([[2.0, 0.0], [0.0, 2.0], [1.5, 0.2], [0.1, 1.0]])
-    w = quality_model._descend(x.ravel(), np.tile([0, 1], 4), np.arange(0, 9, 2), np.array([1.0, -1, 1, -1]), 2, 10.0, 200)
+    w = quality_model._descend(x.ravel(), np.tile([0, 1], 4), [(i, i + 2) for i in range(0, 8, 2)], np.array([1.0, -1, 1, -1]), 2, 10.0, 200)
     assert all((x @ w[:2] + w[2]) * np.array([1, -1, 1, -1]) > 0.98)
 
 
