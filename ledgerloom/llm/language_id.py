@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import slices
 from ledgerloom.llm.labelled import remainder
+from ledgerloom.shipping import ship
 
 DIM, GRAM, TRAIN_ROWS = 1024, 3, 30_000
 _ROWS, _GRAMS = 256, 8192
@@ -123,6 +124,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, mod: int = 4, held: int = 2)
     share = int(min(1.0, rows / max(1, n)) * 1_000_000)
     some = _rows(known, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in slices(batches, "text"):
@@ -150,6 +153,8 @@ def predict(docs: DataFrame, profiles: Profiles, mod: int = 4, held: int = 2) ->
     """Per row: doc_id, held_out, lang_pred, score (the cosine)."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             langs, scores = shared.value.predict(b["text"].to_pylist())
@@ -161,12 +166,15 @@ def predict(docs: DataFrame, profiles: Profiles, mod: int = 4, held: int = 2) ->
 
 def accept(docs: DataFrame, profiles: Profiles, least: float = 0.1) -> DataFrame:
     """The rows of docs, all columns, whose language is known with a score of at least `least`; decided where the rows lie."""
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    shared, names = docs.sparkSession.sparkContext.broadcast(profiles), docs.columns
+    lower = "_" + max(names, key=len)  # longer than any name, so it is free
+
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_lower"):
-            langs, scores = shared.value.predict(b["_lower"].to_pylist())
+        for b in slices(batches, lower):
+            langs, scores = shared.value.predict(b[lower].to_pylist())
             keep = pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_())
-            yield b.select(docs.columns).filter(keep)
+            yield b.select(names).filter(keep)
 
-    return docs.withColumn("_lower", F.lower(F.coalesce(F.col("text"), F.lit("")))).mapInArrow(run, docs.schema)
+    return docs.withColumn(lower, F.lower(F.coalesce(F.col("text"), F.lit("")))).mapInArrow(run, docs.schema)
