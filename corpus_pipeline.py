@@ -10,7 +10,7 @@ from ledgerloom.llm.common import materialise
 
 
 def language_stage(spark, docs, sf_dir):
-    """Documents without a known language go (no letters, or unlike all profiles)."""
+    """Documents without a known language go (null or without letters)."""
     return language_id.accept(docs, language_id.train(docs))
 
 

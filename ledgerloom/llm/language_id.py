@@ -164,8 +164,11 @@ def predict(docs: DataFrame, profiles: Profiles, mod: int = 4, held: int = 2) ->
     return _rows(docs, held_out).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accept(docs: DataFrame, profiles: Profiles, least: float = 0.1) -> DataFrame:
-    """The rows of docs, all columns, whose language is known with a score of at least `least`; decided where the rows lie."""
+def accept(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """The rows of docs, all columns, that are not `und`; decided where the rows lie.
+
+    No floor on the score: a text of one n-gram scores as low as an unknown one, so a floor would cut short texts.
+    """
     shared, names = docs.sparkSession.sparkContext.broadcast(profiles), docs.columns
     lower = "_" + max(names, key=len)  # longer than any name, so it is free
 
@@ -173,8 +176,7 @@ def accept(docs: DataFrame, profiles: Profiles, least: float = 0.1) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, lower):
-            langs, scores = shared.value.predict(b[lower].to_pylist())
-            keep = pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_())
-            yield b.select(names).filter(keep)
+            langs, _ = shared.value.predict(b[lower].to_pylist())
+            yield b.select(names).filter(pa.array([x != "und" for x in langs], pa.bool_()))
 
     return docs.withColumn(lower, F.lower(F.coalesce(F.col("text"), F.lit("")))).mapInArrow(run, docs.schema)

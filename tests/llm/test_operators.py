@@ -348,6 +348,14 @@ def test_language(spark, docs, none, clashing):
     assert kept.columns == clashing.columns and not {300, 301, 302, 303} & {r.doc_id for r in kept.collect()}
 
 
+def test_language_stage_keeps_short_documents(spark, docs):
+    long = [(i, t, k, "s", 0) for i, (t, k) in enumerate([("the shore under the morning and its long shadows", "en"), ("les enfants que nous avons vus avec leurs amis", "fr")] * 20)]
+    short = [(1000 + i, t, None, "s", 0) for i, t in enumerate(["A.\nAll rights reserved.", "Avec.", "Hello world", "Zoom call", "Q", "x = f(y)", "\u4e2d\u6587"])]
+    df = spark.createDataFrame([*long, *short, (2000, None, "en", "s", 0), (2001, "12 !!", "en", "s", 0)], docs.schema)
+    kept = language_id.accept(df, language_id.train(df))
+    assert sorted(r.doc_id for r in kept.collect()) == [r[0] for r in [*long, *short]]
+
+
 def test_bundles_equal_the_definition():
     texts = ["Abc ab", "", "x", "a-b c"]
     got, has = language_id.bundles([t.lower() for t in texts], 64)
