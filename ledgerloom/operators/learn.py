@@ -4,6 +4,8 @@ Learners are Spark ML's; a second tree learner (random forest) stands where a se
 variety. Folds are exact and deterministic (metrics.folds). Attributions are those of the linear model.
 """
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -61,22 +63,66 @@ def feature_gain(df: DataFrame, names: list[str], target: str = "y", k: int = 25
 
 
 class IsolationForest:
-    """Trees on small samples drawn by hash (at most `sample` rows each come to the driver); scoring runs map-side on Arrow batches."""
+    """Trees on small samples, each drawn by hash from all rows and grown on the executors; scoring runs map-side on Arrow batches."""
 
     def __init__(self, trees: int = 100, sample: int = 256, seed: int = 42):
         self.trees, self.sample, self.seed, self.forest = trees, sample, seed, []
 
     def fit(self, df: DataFrame, names: list[str], key: str) -> "IsolationForest":
-        rng = np.random.default_rng(self.seed)
         self.names, self.fill = names, medians(df, names)
-        rows = impute(df, self.fill).orderBy(F.xxhash64(F.col(key), F.lit(self.seed)), key).limit(self.sample * 8).select(*names).toPandas().to_numpy(float)
-        self.n = min(self.sample, len(rows))
-        depth = max(1, int(np.ceil(np.log2(max(2, self.n)))))
-        self.forest = [self._grow(rows[rng.choice(len(rows), self.n, replace=False)], depth, rng) for _ in range(self.trees)] if len(rows) else []
-        raw = self.raw(rows) if len(rows) else np.zeros(1)
-        self.lo, self.hi = float(raw.min()), float(raw.max())
+        rows = impute(df, self.fill)
+        total = rows.count()
+        self.n = min(self.sample, total)
+        # each tree takes the n smallest of its own hashes; rows above a share that holds them all but surely are not sent
+        share = min(1.0, (self.n + 8 * np.sqrt(self.n) + 16) / max(1, total))
+        while total:
+            found = self._trees(rows, key, share).collect()
+            if share == 1.0 or len(found) == self.trees and all(r.n >= self.n for r in found):
+                break
+            share = min(1.0, share * 4)
+        self.forest = [pickle.loads(r.nodes) for r in sorted(found, key=lambda r: r.tree)] if total else []
+        self.lo, self.hi = self._range(rows)
         return self
 
+    def _trees(self, rows: DataFrame, key: str, share: float) -> DataFrame:
+        """tree, n (rows it could draw from), nodes."""
+        names, trees, n, seed = self.names, self.trees, self.n, self.seed
+        depth = max(1, int(np.ceil(np.log2(max(2, n)))))
+        below = np.uint64(min(2**64 - 1, int(share * 2**64)))
+        salts = np.random.default_rng(seed).integers(0, 2**64, trees, dtype=np.uint64)
+        ship(rows.sparkSession)
+
+        def deal(batches):
+            for b in batches:
+                h = b["_h"].to_numpy().view(np.uint64)[:, None] ^ salts[None, :]
+                for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+                h ^= h >> np.uint64(31)
+                at, tree = np.nonzero(h <= below)
+                yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(h[at, tree].view(np.int64)), *[b[c].take(pa.array(at)) for c in names]], ["tree", "_h", *names])
+
+        def grow(table):
+            order = np.argsort(table["_h"].to_numpy().view(np.uint64), kind="stable")[:n]
+            x, tree = np.column_stack([table[c].to_numpy()[order] for c in names]), table["tree"][0].as_py()
+            nodes = self._grow(x, depth, np.random.default_rng([seed, tree]))
+            return pa.table({"tree": pa.array([tree], pa.int32()), "n": pa.array([table.num_rows], pa.int64()), "nodes": pa.array([pickle.dumps(nodes)], pa.binary())})
+
+        dealt = rows.select(F.xxhash64(F.col(key), *names, F.lit(seed)).alias("_h"), *names).mapInArrow(deal, ", ".join(["tree int", "_h long", *[f"`{c}` double" for c in names]]))
+        return dealt.groupBy("tree").applyInArrow(grow, "tree int, n long, nodes binary")
+
+    def _range(self, rows: DataFrame) -> tuple[float, float]:
+        """The least and the largest raw score of all rows."""
+        names = self.names
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    raw = self.raw(np.column_stack([b[c].to_numpy(zero_copy_only=False) for c in names]))
+                    yield pa.RecordBatch.from_arrays([pa.array([raw.min()]), pa.array([raw.max()])], ["lo", "hi"])
+
+        r = rows.select(*names).mapInArrow(run, "lo double, hi double").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+        return (r.lo, r.hi) if r.lo is not None else (0.0, 0.0)
+
     def _grow(self, x, depth, rng):
         spread = np.ptp(x, axis=0) if len(x) else np.zeros(x.shape[1])
         live = np.flatnonzero(spread > 0)
@@ -106,7 +152,7 @@ class IsolationForest:
         return 2.0 ** (-(total / max(1, len(self.forest))) / max(self._path(self.n), 1e-9))
 
     def transform(self, df: DataFrame, key: str) -> DataFrame:
-        """key, p_iso: the score scaled by the sample's range, 0..1."""
+        """key, p_iso: the score scaled by the range over all training rows, 0..1."""
         names = self.names
 
         ship(df.sparkSession)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,19 @@ def test_isolation_forest_ranks_outliers(spark):
     assert max(p, key=p.get) == 999 and all(0 <= v <= 1 for v in p.values())
 
 
+def test_isolation_forest_draws_from_and_ranges_over_all_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(6000)] + [(10_000 + i, 6.0 + 3 * i, -6.0 - 3 * i) for i in range(8)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    forest = H.IsolationForest(60).fit(df, ["a", "b"], "id")
+    raw = forest.raw(np.array([r[1:] for r in rows]))
+    assert abs(forest.lo - raw.min()) < 1e-12 and abs(forest.hi - raw.max()) < 1e-12
+    p = {r.id: r.p_iso for r in forest.transform(df, "id").collect()}
+    assert len({v for v in p.values() if v == 1.0}) == 1 and sum(v == 1.0 for v in p.values()) == sum(raw == raw.max())
+    drawn = forest._trees(H.impute(df, forest.fill), "id", 1.0).collect()
+    assert [r.n for r in drawn] == [len(rows)] * 60 and len(forest.forest) == 60
+
+
 def test_attributions_add_up(spark):
     rng = random.Random(8)
     df = spark.createDataFrame([(i, int(x > 0.7), x, rng.random()) for i, x in enumerate(rng.random() for _ in range(200))], "id long, y int, a double, b double")
