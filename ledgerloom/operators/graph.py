@@ -8,6 +8,7 @@ from ledgerloom.functions.numeric import div, div0
 
 #: Fixed values of the ring and propagation definitions.
 SIZES, MAX_CYCLE, MAX_CONDUCTANCE, MIN_DENSITY = (3, 25), 5, 0.60, 0.15
+MAX_REFINE = 6
 DECAY = {1: 0.85, 2: 0.70, 3: 0.55}
 
 
@@ -107,10 +108,10 @@ def cycles(graph: DataFrame, groups: DataFrame, longest: int = MAX_CYCLE) -> Dat
 
 def group_passthrough(graph: DataFrame, groups: DataFrame) -> DataFrame:
     """grp, inflow, outflow over the boundary, passthrough = min(out / in, 1), 0 without inflow."""
-    a, b = groups.select(F.col("account").alias("src"), F.col("grp").alias("g1")), groups.select(F.col("account").alias("dst"), F.col("grp").alias("g2"))
-    x = graph.join(a, "src", "left").join(b, "dst", "left").filter("g1 is null or g2 is null or g1 <> g2")
-    out = x.filter("g1 is not null").groupBy(F.col("g1").alias("grp")).agg(F.sum("amount").alias("outflow"))
-    inn = x.filter("g2 is not null").groupBy(F.col("g2").alias("grp")).agg(F.sum("amount").alias("inflow"))
+    a, b = groups.select(F.col("account").alias("src"), "grp"), groups.select(F.col("account").alias("dst"), "grp")
+    # groups may overlap, so an edge crosses a group's boundary if its other end is not in that same group
+    out = graph.join(a, "src").join(b, ["dst", "grp"], "left_anti").groupBy("grp").agg(F.sum("amount").alias("outflow"))
+    inn = graph.join(b, "dst").join(a, ["src", "grp"], "left_anti").groupBy("grp").agg(F.sum("amount").alias("inflow"))
     g = groups.select("grp").distinct().join(inn, "grp", "left").join(out, "grp", "left").fillna(0.0, ["inflow", "outflow"])
     return g.withColumn("passthrough", F.least(div0(F.col("outflow"), F.col("inflow")), F.lit(1.0)))
 
@@ -138,24 +139,80 @@ def account_ring(rings: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.join(rings.select("grp", "score"), "grp").groupBy("account").agg(F.max("score").alias("ring_score"))
 
 
-def communities(graph: DataFrame, rounds: int = 8) -> DataFrame:
-    """account, grp: synchronous label propagation on the undirected graph, weighted, ties to the smallest label.
+def _links(graph: DataFrame) -> DataFrame:
+    """u, v, w: every undirected link from both ends."""
+    from ledgerloom.sources.io import written
+
+    u = graph.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum("weight").cast("double").alias("w"))
+    return written(u.unionByName(u.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")), "graph")
+
+
+def _settled(both: DataFrame, label: DataFrame, free: int = 8) -> DataFrame:
+    """account, grp: label propagation to its fixed point, where no account has a label with more weight among its neighbours.
+
+    The first `free` rounds are synchronous, ties to the smallest label; every other round an account keeps its label if
+    that is as good. After that an account moves only for strictly more weight, and of neighbours that want to move only
+    the one that comes first: each round adds to the weight inside groups, so the rounds end.
+    """
+    from ledgerloom.sources.io import written
 
-    Every other round an account keeps its label if that is as good, which ends two-colour flips. Each round is
-    written to the shared folder.
+    k = 0
+    while True:
+        votes = both.join(label.select(F.col("account").alias("v"), "grp"), "v").groupBy(F.col("u").alias("account"), "grp").agg(F.round(F.sum("w"), 9).alias("w"))
+        if k < free and k % 2:
+            votes = votes.unionByName(label.withColumn("w", F.lit(1.0))).groupBy("account", "grp").agg(F.sum("w").alias("w"))
+        best = votes.groupBy("account").agg(F.min(F.struct((-F.col("w")).alias("less"), "grp")).alias("b"))
+        move = best.select("account", F.col("b.grp").alias("new"))
+        if k >= free:
+            own = votes.join(label, ["account", "grp"]).select("account", F.col("w").alias("own"))
+            want = best.join(own, "account", "left").filter(-F.col("b.less") > F.coalesce("own", F.lit(0.0)) + 1e-8)
+            want = written(want.select("account", F.col("b.grp").alias("new"), F.xxhash64("account", F.lit(k)).alias("turn")), "moves")
+            if want.isEmpty():
+                return label
+            a, b = (want.select(F.col("account").alias(c), F.struct("turn", "account").alias(f"t{c}")) for c in "uv")
+            move = want.join(both.join(a, "u").join(b, "v").filter("tv > tu").select(F.col("u").alias("account")).distinct(), "account", "left_anti").select("account", "new")
+        label = written(label.join(move, "account", "left").select("account", F.coalesce("new", "grp").alias("grp")), "labels")
+        k += 1
+
+
+def _singles(both: DataFrame) -> DataFrame:
+    return both.select(F.col("u").alias("account")).distinct().withColumn("grp", F.col("account"))
+
+
+def communities(graph: DataFrame) -> DataFrame:
+    """account, grp: weighted label propagation on the undirected graph, to its fixed point. Rounds are written to the shared folder."""
+    both = _links(graph)
+    return _settled(both, _singles(both))
+
+
+def candidate_groups(graph: DataFrame) -> DataFrame:
+    """account, grp ("depth:label"): communities, and of those over 25 members their parts, coarse and children both kept.
+
+    Down to MAX_REFINE levels, all groups over the size at once. Inside a group, a link weighs w - r k_u k_v / 2m (degrees and
+    total weight within the group; the resolution r doubles at each level), links of no more than 0 go, and labels
+    settle anew. A part equal to its parent is not listed twice, but is split further.
     """
     from ledgerloom.sources.io import written
 
-    u = graph.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum("weight").alias("w"))
-    both = written(u.unionByName(u.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")), "graph")
-    label = both.select(F.col("u").alias("account")).distinct().withColumn("grp", F.col("account"))
-    for k in range(rounds):
-        votes = both.join(label.select(F.col("account").alias("v"), "grp"), "v").groupBy(F.col("u").alias("account"), "grp").agg(F.sum("w").alias("w"))
-        if k % 2:
-            votes = votes.unionByName(label.withColumn("w", F.lit(1))).groupBy("account", "grp").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("account").agg(F.max("w").alias("top"))
-        label = written(votes.join(best, "account").filter("w = top").groupBy("account").agg(F.min("grp").alias("grp")), "labels")
-    return label
+    both = _links(graph)
+    label = _settled(both, _singles(both))
+    out, inside = label.withColumn("depth", F.lit(0)), both
+    for depth in range(1, MAX_REFINE + 1):
+        large = label.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") > SIZES[1])
+        members = written(label.join(large, "grp").select("account", F.col("grp").alias("parent"), "size"), "members")
+        if members.isEmpty():
+            break
+        a, b = members.select(F.col("account").alias("u"), "parent"), members.select(F.col("account").alias("v"), "parent")
+        inside = written(inside.select("u", "v", "w").join(a, "u").join(b, ["v", "parent"]), "graph")  # w stays the plain weight
+        deg = inside.groupBy("u", "parent").agg(F.sum("w").alias("k"))
+        total = inside.groupBy("parent").agg(F.sum("w").alias("m2"))
+        x = inside.join(deg.select("u", F.col("k").alias("ku")), "u").join(deg.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v").join(total, "parent")
+        gain = F.col("w") - F.lit(2.0**depth) * F.col("ku") * F.col("kv") / F.col("m2")
+        strong = written(x.select("u", "v", gain.alias("w")).filter("w > 1e-9"), "graph")
+        label = _settled(strong, members.select("account", F.col("account").alias("grp")))
+        parts = label.join(members, "account").withColumn("n", F.count("*").over(Window.partitionBy("grp")))
+        out = out.unionByName(parts.filter("n < size").select("account", "grp", F.lit(depth).alias("depth")))
+    return out.select("account", F.concat_ws(":", F.col("depth").cast("string"), F.col("grp").cast("string")).alias("grp"))
 
 
 EDGES_SQL = "g AS (SELECT src, dst, count(*) AS weight, sum(coalesce(amount, 1)) AS amount FROM ledger WHERE src <> dst GROUP BY src, dst), u AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM g)"

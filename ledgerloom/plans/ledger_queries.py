@@ -259,7 +259,13 @@ def graph_label_side(spark, d):
 
 @query()
 def graph_communities(spark, d):
-    return G.communities(G.collapse(_planted(spark, d)))
+    return G.candidate_groups(G.collapse(_planted(spark, d)))
+
+
+@query()
+def graph_community_rings(spark, d):
+    g = written(G.collapse(_planted(spark, d)), "graph")
+    return G.ring_scores(g, written(G.candidate_groups(g), "groups"))
 
 
 # ------------------------------------------------------------------ temporal

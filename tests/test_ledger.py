@@ -77,6 +77,39 @@ def test_graph(spark):
     assert hops[0] == (0, 1.0) and hops[1] == (1, 0.85) and 100 not in hops
 
 
+def test_rings_inside_a_large_community_are_found(spark):
+    rng = random.Random(2)
+    ring = [(a, b) for a in range(6) for b in range(6) if a != b]
+    edges = ring * 3 + [(a, 6 + rng.randrange(60)) for a in range(6) for _ in range(3)] + [(6 + i, 6 + j) for i in range(60) for j in rng.sample(range(60), 12) if i != j]
+    g = G.collapse(spark.createDataFrame(edges, "src long, dst long"))
+    found = {}
+    for r in G.candidate_groups(g).collect():
+        found.setdefault(r.grp, set()).add(r.account)
+    large = [m for k, m in found.items() if k.startswith("0:") and len(m) > 25]
+    assert large and {a for k, m in found.items() if k.startswith("0:") for a in m} == set(range(66))
+    assert any(m < big for big in large for k, m in found.items() if not k.startswith("0:"))
+    assert len({frozenset(m) for m in found.values()}) == len(found)
+    assert any(len(m & set(range(6))) >= 4 and len(m) <= 25 for m in found.values())
+
+
+def test_communities_are_a_fixed_point(spark):
+    line = [(i, i + 1) for i in range(60)] + [(i, i + 1) for i in range(0, 60, 7)]
+    g = G.collapse(spark.createDataFrame(line, "src long, dst long"))
+    own = {r.account: r.grp for r in G.communities(g).collect()}
+    near = {}
+    for r in g.collect():
+        for a, b in ((r.src, r.dst), (r.dst, r.src)):
+            votes = near.setdefault(a, {})
+            votes[own[b]] = votes.get(own[b], 0) + r.weight
+    assert all(v.get(own[a], 0) == max(v.values()) for a, v in near.items())
+
+
+def test_passthrough_of_overlapping_groups(spark):
+    g = G.collapse(spark.createDataFrame([(1, 2, 10.0), (2, 3, 5.0), (3, 9, 2.0), (8, 1, 4.0)], "src long, dst long, amount double"))
+    groups = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (1, "b"), (2, "b")], "account long, grp string")
+    assert {r.grp: (r.inflow, r.outflow) for r in G.group_passthrough(g, groups).collect()} == {"a": (4.0, 2.0), "b": (4.0, 5.0)}
+
+
 def brute_cycles(edges):
     out = {}
     for a, b in edges:
