@@ -20,6 +20,8 @@ from ledgerloom.sources.io import written
 from ledgerloom.shipping import ship
 
 ISOTONIC_FROM = 100
+#: The reference's tree counts: base learners, isolation forest, feature ranker, integrity audit.
+TREES, ISOLATION_TREES, GAIN_TREES, AUDIT_TREES = 400, 300, 150, 200
 
 
 def medians(df: DataFrame, names: list[str]) -> dict[str, float]:
@@ -55,7 +57,7 @@ def _score(model, df: DataFrame, names: list[str], out: str) -> DataFrame:
     return x.select(*df.columns, out)
 
 
-def feature_gain(df: DataFrame, names: list[str], target: str = "y", k: int = 250, trees: int = 10) -> DataFrame:
+def feature_gain(df: DataFrame, names: list[str], target: str = "y", k: int = 250, trees: int = GAIN_TREES) -> DataFrame:
     """feature, gain, place: the k features with the largest gain in a boosted model."""
     gain = _fit("gbt", impute(df, medians(df, names)), names, target, trees).featureImportances.toArray()
     rows = sorted(zip(names, map(float, gain), strict=True), key=lambda x: (-x[1], x[0]))[:k]
@@ -65,7 +67,7 @@ def feature_gain(df: DataFrame, names: list[str], target: str = "y", k: int = 25
 class IsolationForest:
     """Trees on small samples, each drawn by hash from all rows and grown on the executors; scoring runs map-side on Arrow batches."""
 
-    def __init__(self, trees: int = 100, sample: int = 256, seed: int = 42):
+    def __init__(self, trees: int = ISOLATION_TREES, sample: int = 256, seed: int = 42):
         self.trees, self.sample, self.seed, self.forest = trees, sample, seed, []
 
     def fit(self, df: DataFrame, names: list[str], key: str) -> "IsolationForest":
@@ -179,7 +181,7 @@ def calibrate(scored: DataFrame, score: str, target: str = "y"):
     return lambda df: platt.transform(logit(df)).withColumn("p", vector_to_array("probability")[1]).select(*df.columns, "p")
 
 
-def out_of_fold(df: DataFrame, names: list[str], key: str = "id", target: str = "y", k: int = 3, trees: int = 8) -> DataFrame:
+def out_of_fold(df: DataFrame, names: list[str], key: str = "id", target: str = "y", k: int = 3, trees: int = TREES) -> DataFrame:
     """key, y, fold, p_gbt, p_rf, p_iso, p: base learners and their balanced logistic stack, all scored on rows not fitted on."""
     rows = written(folds(df.withColumnRenamed(key, "id"), k).select("id", target, "fold", *names), "folds")
     parts = []
@@ -189,7 +191,7 @@ def out_of_fold(df: DataFrame, names: list[str], key: str = "id", target: str =
         train, test = impute(train, fill), impute(test, fill)
         for kind in ("gbt", "rf"):
             test = _score(_fit(kind, train, names, target, trees), test, names, f"p_{kind}")
-        iso = IsolationForest(50).fit(train, names, "id")
+        iso = IsolationForest().fit(train, names, "id")
         parts.append(test.join(iso.transform(test, "id"), "id").select("id", target, "fold", "p_gbt", "p_rf", "p_iso"))
     base = parts[0]
     for p in parts[1:]:
@@ -206,7 +208,7 @@ def out_of_fold(df: DataFrame, names: list[str], key: str = "id", target: str =
     return calibrate(stack, "p_stack", target)(stack).withColumnRenamed("id", key)
 
 
-def gbt_scores(df: DataFrame, names: list[str], key: str, target: str = "y", trees: int = 10) -> DataFrame:
+def gbt_scores(df: DataFrame, names: list[str], key: str, target: str = "y", trees: int = TREES) -> DataFrame:
     filled = impute(df, medians(df, names))
     return _score(_fit("gbt", filled, names, target, trees), filled, names, "p_gbt").select(key, target, "p_gbt")
 
@@ -220,7 +222,7 @@ def attributions(df: DataFrame, names: list[str], key: str, target: str = "y") -
     return filled.select(F.col(key).alias("id"), F.explode(F.array(*cells)).alias("a")).select("id", "a.*")
 
 
-def missingness_audit(df: DataFrame, names: list[str], key: str, target: str = "y", k: int = 3) -> DataFrame:
+def missingness_audit(df: DataFrame, names: list[str], key: str, target: str = "y", k: int = 3, trees: int = AUDIT_TREES) -> DataFrame:
     """test, auprc, prevalence: what blanks alone, weak columns, and shuffled labels can predict out of fold."""
     from ledgerloom.operators.metrics import average_precision
     from ledgerloom.operators.quality import target_correlation
@@ -236,14 +238,14 @@ def missingness_audit(df: DataFrame, names: list[str], key: str, target: str = "
         scores = None
         for i in range(k):
             train, fill = rows.filter(F.col("fold") != i), medians(rows.filter(F.col("fold") != i), cols)
-            part = _score(_fit("gbt", impute(train, fill), cols, target, 5), impute(rows.filter(F.col("fold") == i), fill), cols, "p").select("id", F.col(target).alias("y"), "p")
+            part = _score(_fit("gbt", impute(train, fill), cols, target, trees), impute(rows.filter(F.col("fold") == i), fill), cols, "p").select("id", F.col(target).alias("y"), "p")
             scores = part if scores is None else scores.unionByName(part)
         row = average_precision(scores).select(F.lit(test).alias("test"), F.round("auprc", 4).alias("auprc")).crossJoin(scores.agg(F.round(F.avg(F.col("y").cast("double")), 4).alias("prevalence")))
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def degradation(df: DataFrame, names: list[str], key: str, target: str = "y", rates: tuple[float, ...] = (0.0, 0.25, 0.5)) -> DataFrame:
+def degradation(df: DataFrame, names: list[str], key: str, target: str = "y", rates: tuple[float, ...] = (0.0, 0.25, 0.5), trees: int = TREES) -> DataFrame:
     """rate, auprc of a model fitted on rows with hashed column dropout, when that share of cells is missing."""
     from ledgerloom.operators.metrics import average_precision
 
@@ -254,7 +256,7 @@ def degradation(df: DataFrame, names: list[str], key: str, target: str = "y", ra
     copies = df
     for i, r in enumerate(rates[1:], 1):
         copies = copies.unionByName(masked(df, r, i))
-    model = _fit("gbt", impute(copies, fill), names, target, 8)
+    model = _fit("gbt", impute(copies, fill), names, target, trees)
     out = None
     for r in rates:
         s = _score(model, impute(masked(df, r, 99), fill), names, "p").select(F.col(target).alias("y"), "p")

@@ -147,6 +147,23 @@ def test_isolation_forest_draws_from_and_ranges_over_all_rows(spark):
     assert [r.n for r in drawn] == [len(rows)] * 60 and len(forest.forest) == 60
 
 
+def test_registered_learners_use_the_reference_tree_counts(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def fit(kind, df, names, target, trees):
+        raise Seen(trees)
+
+    monkeypatch.setattr(H, "_fit", fit)
+    df = spark.createDataFrame([(i, i % 2, float(i)) for i in range(12)], "id long, y int, a double")
+    for run, want in ((H.out_of_fold, 400), (H.gbt_scores, 400), (H.missingness_audit, 200), (H.degradation, 400)):
+        with pytest.raises(Seen, match=f"^{want}$"):
+            run(df, ["a"], "id")
+    with pytest.raises(Seen, match="^150$"):
+        H.feature_gain(df, ["a"])
+    assert H.IsolationForest().trees == 300
+
+
 def test_attributions_add_up(spark):
     rng = random.Random(8)
     df = spark.createDataFrame([(i, int(x > 0.7), x, rng.random()) for i, x in enumerate(rng.random() for _ in range(200))], "id long, y int, a double, b double")
