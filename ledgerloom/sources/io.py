@@ -53,7 +53,7 @@ def read_dictionary(frames: list[DataFrame], columns: list[str]) -> DataFrame:
     """Of several tables the one, and in it the key column, that names most of `columns`: feature, name, desc."""
     known, best = set(columns), (0, None, None)
     for df in frames:
-        wide = df.limit(100_000).agg(*[F.sum(F.col(f"`{c}`").cast("string").isin(*known).cast("int")).alias(c) for c in df.columns]).first()
+        wide = df.agg(*[F.sum(F.col(f"`{c}`").cast("string").isin(*known).cast("int")).alias(c) for c in df.columns]).first()
         for c in df.columns:
             if (wide[c] or 0) > best[0]:
                 best = (wide[c], df, c)

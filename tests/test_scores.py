@@ -127,6 +127,12 @@ def test_readers(spark, tmp_path):
     assert io.third_party_ledger(raw).count() == 2 and io.third_party_ledger(raw, 3).count() == 1
 
 
+def test_dictionary_key_may_lie_beyond_any_prefix(spark):
+    long = spark.range(0, 100_010, 1, 1).select(F.when(F.col("id") >= 100_000, F.concat(F.lit("f"), F.col("id") - 100_000)).otherwise("x").alias("code"), F.lit("n").alias("name"))
+    short = spark.createDataFrame([("f1", "wrong")], "code string, name string")
+    assert {r.name for r in io.read_dictionary([short, long], ["f1", "f2", "f3"]).filter("feature = 'f1'").collect()} == {"n"}
+
+
 def test_isolation_forest_ranks_outliers(spark):
     rng = random.Random(7)
     df = spark.createDataFrame([(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(300)] + [(999, 9.0, -9.0)], "id long, a double, b double")
