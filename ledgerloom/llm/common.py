@@ -4,6 +4,7 @@ Spark hands Python whole Arrow batches, so the text of a batch is one byte buffe
 helpers below work on that buffer with numpy: no Python object exists per word.
 """
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,16 +37,48 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/ledgerloom/{label}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+_open: list[list[str]] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back, which cuts its lineage.
 
-    Ids given by position stay fixed from here on, and a lost executor costs a reread only.
+    Ids given by position stay fixed from here on, and a lost executor costs a reread only. Inside `scratch` the table
+    goes when the block ends.
     """
     path = new_path(df.sparkSession, label)
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Yields keep(df, label), which writes a table that outlives the block; all other tables written in it are deleted."""
+    _open.append(mine := [])
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out = materialise(df, label)
+        path = mine.pop()
+        if len(_open) > 1:  # it lives as long as the block around this one
+            _open[-2].append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for path in mine:
+            delete(spark, path)
+
+
 def with_group(df: DataFrame, keys: list[str], spread: Column, stats: dict[str, tuple[Column, str]], salts: int = 64) -> DataFrame:
     """Adds to every row statistics of its whole group, though one group may hold a third of all rows.
 
@@ -62,9 +95,43 @@ def with_group(df: DataFrame, keys: list[str], spread: Column, stats: dict[str,
     return salted.join(total, by).drop("_salt")
 
 
+def salted_join(df: DataFrame, other: DataFrame, key: str, spread: Column, how: str = "inner", salts: int = 64) -> DataFrame:
+    """df joined to `other` (one row a key), though one key may hold a third of df's rows: at most `salts` copies of that row."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    each = salted.select(key, "_salt").distinct().join(other, key)
+    return salted.join(each, [key, "_salt"], how).drop("_salt")
+
+
+def quoted(name: str) -> str:
+    """A column name that may hold dots or back quotes, as Spark reads it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
 def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
     """The keys beside `_row`, which holds all columns of docs: no name of the caller can clash with an operator's."""
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in keys.items()])
+    return docs.select(whole_row(docs).alias("_row"), *[c.alias(n) for n, c in keys.items()])
+
+
+def id_keys(doc_id: Column) -> dict[str, Column]:
+    """A doc_id as two columns without nulls, so that it can be grouped and joined by plain equality."""
+    return {"_key": F.coalesce(doc_id.cast("long"), F.lit(0)), "_none": doc_id.isNull()}
+
+
+def one_of_each(docs: DataFrame, stay: DataFrame, **keys: Column) -> DataFrame:
+    """The rows of docs whose keys are in `stay` (columns named like the keys, none null), one for each key.
+
+    Of rows with equal keys the one with the smallest hash of all its columns stays, so reruns agree. Equal keys
+    collapse where the rows lie, before they move.
+    """
+    kinds = dict(docs.dtypes)
+    plain = [F.to_json(F.struct(F.col(quoted(c)))) if "map<" in kinds[c] or "variant" in kinds[c] else F.col(quoted(c)) for c in docs.columns]
+    keyed = boxed(docs, **keys, _hash=F.xxhash64(*plain))
+    first = keyed.groupBy(*keys).agg(F.min_by("_row", "_hash").alias("_row"))
+    return first.join(stay, list(keys), "left_semi").select("_row.*")
 
 
 # ---------------------------------------------------------------- text in Arrow batches
@@ -120,16 +187,8 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) ->
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """1, base, base^2, ... modulo 2^64."""
-    factors = np.full(n, base, np.uint64)
-    factors[:1] = 1
-    return np.cumprod(factors, dtype=np.uint64)
-
-
-_BASE = 0x9E3779B97F4A7C15
-_POW = _powers(_BASE, 4096)
-_FAR = pow(_BASE, 4096, 1 << 64)
+#: The lowest k bytes of a long, for k up to 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -140,18 +199,23 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased if fold: a polynomial in its bytes, mixed with its length."""
+    """A 64-bit hash of each word, A-Z lower-cased if fold.
+
+    Each 8 bytes, with a key of their place in the word, are mixed before they are added up, so neither order nor structure cancels out.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
-    at = np.concatenate([[0], np.cumsum(size)])
-    place = np.arange(at[-1], dtype=np.int64) - np.repeat(at[:-1], size)
-    taken = data[place + np.repeat(starts, size)]
-    code = (_LOWER[taken] if fold else taken).astype(np.uint64) + np.uint64(1)
-    code *= _POW[place & 4095]
-    if size.max() > 4096:
-        code *= _powers(_FAR, int(size.max()) // 4096 + 1)[place >> 12]
-    return mix(np.add.reduceat(code, at[:-1]) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    chunks = (size + 7) >> 3
+    at = np.cumsum(chunks) - chunks
+    place = np.arange(int(at[-1] + chunks[-1]), dtype=np.int64) - np.repeat(at, chunks)
+    padded = np.concatenate([_LOWER[data] if fold else data, np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.sliding_window_view(padded, 8)[np.repeat(starts, chunks) + (place << 3)]
+    code = np.ascontiguousarray(eights).view("<u8").reshape(-1)
+    left = np.repeat(size, chunks) - (place << 3)
+    code &= _FIRST[np.minimum(left, 8)]
+    code = mix(code ^ mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return mix(np.add.reduceat(code, at) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 _GRAM = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
