@@ -5,12 +5,15 @@ binds its letters: the product of their vectors, each rotated by its place. A te
 n-grams into a sum; a language's prototype bundles the unit vectors of its texts. The prediction is the language with
 the largest cosine between text and prototype.
 
-N-grams run over letters, lower-cased, with one space for anything between words. Prototypes are learned from at most `rows` texts
-(default TRAIN_ROWS) with a language that are not held out; partial sums merge in two steps, so no task
-gathers a language. Prediction covers every text, map-side.
-
-A null text or one without letters is `und` with score 0; so is every text where nothing could be learned. Ties go to the first
-language in code point order. Other columns play no part; repeated rows give repeated rows.
+N-grams run over letters, lower-cased, with one space for anything between words and at both ends. Bundles and prototypes
+are whole numbers, so sums are exact: a text's score depends on the text alone, not on the rows beside it. Prototypes are learned
+from about `rows` texts (default TRAIN_ROWS), shared equally among the languages, so that a rare one is learned too; the
+languages are few, one prototype each. Partial sums merge in two steps, so no task gathers a language. Prediction covers every
+text, map-side.
+
+A null text or one without letters is `und` with score 0; so is every text where nothing could be learned (accept() then keeps
+every text with letters). Ties go to the first language in code point order. Rows that repeat doc_id and text are learned once
+a language. Other columns play no part; repeated rows give repeated rows.
 """
 
 from collections.abc import Iterator
@@ -27,6 +30,8 @@ from ledgerloom.shipping import ship
 
 DIM, GRAM, TRAIN_ROWS = 1024, 3, 30_000
 _ROWS, _GRAMS = 256, 8192
+#: Unit vectors are rounded to multiples of 1 / SCALE when they are learned from, prototypes to those of 1 / FINE.
+SCALE, FINE = 1 << 20, 1 << 15
 
 _alpha: list = []
 _letters: dict[tuple, np.ndarray] = {}
@@ -53,15 +58,17 @@ def letter_vectors(points: np.ndarray, dim: int = DIM) -> np.ndarray:
 
 def bundles(texts: list[str], dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     """The bundle of each text, and whether it has a letter."""
-    out, has = np.zeros((len(texts), dim), np.float32), np.zeros(len(texts), bool)
-    code = np.frombuffer(" ".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # 32-bit sums of whole numbers are exact up to 2^24
+    exact = np.float32 if sum(map(len, texts)) < 1 << 24 else np.float64
+    out, has = np.zeros((len(texts), dim), exact), np.zeros(len(texts), bool)
+    code = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     letter = _is_letter()[code]
-    row = np.repeat(np.arange(len(texts)), sizes)
+    row = np.concatenate([np.zeros(1, np.int64), np.repeat(np.arange(len(texts)), sizes)])
     has[row[letter]] = True
     keep = letter.copy()
+    keep[0] = True  # the space before the first word
     keep[1:] |= letter[:-1]  # the one space after a word
-    keep[:1] |= ~letter[:1]
     code, row = np.where(letter, code, 32)[keep], row[keep]
     points, sym = np.unique(code, return_inverse=True)
     k = len(points)
@@ -76,12 +83,12 @@ def bundles(texts: list[str], dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     vectors = letter_vectors(points, dim)
     first, second = np.roll(vectors, 2, 1), np.roll(vectors, 1, 1)
     order = np.argsort(which, kind="stable")
-    row, which, count = row[order], which[order], count[order].astype(np.float32)
+    row, which, count = row[order], which[order], count[order].astype(exact)
     for g in range(0, len(kinds), _GRAMS):
         ids = kinds[g : g + _GRAMS]
-        bound = (first[ids // (k * k)] * second[ids // k % k] * vectors[ids % k]).astype(np.float32)
+        bound = (first[ids // (k * k)] * second[ids // k % k] * vectors[ids % k]).astype(exact)
         lo, hi = np.searchsorted(which, [g, g + len(ids)])
-        table = np.zeros((len(texts), len(ids)), np.float32)
+        table = np.zeros((len(texts), len(ids)), exact)
         table[row[lo:hi], which[lo:hi] - g] = count[lo:hi]
         out += table @ bound
     return out, has
@@ -98,19 +105,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 class Profiles:
     def __init__(self, langs: list[str], prototypes: np.ndarray):
-        self.langs, self.prototypes = langs, _unit(prototypes)
+        self.langs, self.prototypes = langs, np.rint(_unit(prototypes.astype(np.float64)) * FINE)
+        self.lengths = np.sqrt((self.prototypes**2).sum(1))
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))
         if self.langs:
             for i, sums, has in _blocks(texts):
-                cos = _unit(sums) @ self.prototypes.T
+                sums = sums.astype(np.float64)
+                cos = sums @ self.prototypes.T / (np.maximum(np.sqrt((sums * sums).sum(1)), 1e-12)[:, None] * self.lengths)
                 best = cos.argmax(1)
                 for j in np.flatnonzero(has).tolist():
                     langs[i + j] = self.langs[best[j]]
                 scores[i : i + len(has)] = np.where(has, np.clip(cos.max(1), 0, 1), 0)
         return langs, scores
 
+    def accepts(self, texts: list[str]) -> np.ndarray:
+        """Whether each text is in a learned language; where none was learned, whether it has a letter."""
+        if not self.langs:
+            return np.array([any(c.isalpha() for c in t) for t in texts], bool)
+        return np.array([x != "und" for x in self.predict(texts)[0]], bool)
+
 
 def _rows(docs: DataFrame, *more):
     text = F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text")
@@ -118,11 +133,16 @@ def _rows(docs: DataFrame, *more):
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, mod: int = 4, held: int = 2) -> Profiles:
-    """Prototypes from at most about `rows` texts, chosen by a hash of their id."""
+    """Prototypes from about `rows` texts in all, as many of each language or all that it has, chosen by a hash of id and text."""
     known = docs.filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), mod) != held))
-    n = known.select("lang").count()
-    share = int(min(1.0, rows / max(1, n)) * 1_000_000)
-    some = _rows(known, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    counts = known.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    each = max(1, rows // max(1, counts.count()))
+    # the share of a language as a limit on 64-bit hashes: as fine as the hashes, however many rows there are
+    limit = F.when(F.col("n") > each, (F.lit(float(each)) / F.col("n") * 2.0**64 - 2.0**63).cast("long"))
+    shares = counts.select(F.col("lang").alias("_lang"), limit.alias("_limit"))
+    hashed = _rows(known, F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
+    some = hashed.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).filter(F.col("_limit").isNull() | (F.col("h") < F.col("_limit")))
+    some = some.dropDuplicates(["lang", "h"])
 
     ship(docs.sparkSession)
 
@@ -132,7 +152,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, mod: int = 4, held: int = 2)
             langs = np.array(b["lang"].to_pylist(), object)
             for i, vectors, has in _blocks(b["text"].to_pylist()):
                 own = langs[i : i + len(has)]
-                vectors = _unit(vectors.astype(np.float64))
+                vectors = np.rint(_unit(vectors.astype(np.float64)) * SCALE).astype(np.int64)
                 for lang in set(own[has]):
                     sums[lang] = sums.get(lang, 0) + vectors[has & (own == lang)].sum(0)
         task = TaskContext.get().partitionId() % 64
@@ -140,13 +160,13 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, mod: int = 4, held: int = 2)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([task] * len(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "task", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x) for x in table["sums"].to_pylist()], 0)
+        total = np.sum([np.frombuffer(x, np.int64) for x in table["sums"].to_pylist()], 0)
         return pa.table({"lang": table["lang"][:1].cast(pa.string()), "task": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     kind = "lang string, task int, sums binary"
     merged = some.select("lang", "text").mapInArrow(run, kind).groupBy("lang", "task").applyInArrow(add, kind).groupBy("lang").applyInArrow(add, kind).collect()
-    found = sorted((r.lang, np.frombuffer(r.sums)) for r in merged)
-    return Profiles([x for x, _ in found], np.array([v for _, v in found]).reshape(len(found), DIM).astype(np.float32))
+    found = sorted((r.lang, np.frombuffer(r.sums, np.int64)) for r in merged)
+    return Profiles([x for x, _ in found], np.array([v for _, v in found]).reshape(len(found), DIM))
 
 
 def predict(docs: DataFrame, profiles: Profiles, mod: int = 4, held: int = 2) -> DataFrame:
@@ -165,18 +185,20 @@ def predict(docs: DataFrame, profiles: Profiles, mod: int = 4, held: int = 2) ->
 
 
 def accept(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """The rows of docs, all columns, that are not `und`; decided where the rows lie.
+    """The rows of docs, all columns, that are in a learned language (any with letters, where none is); decided where the rows lie.
 
     No floor on the score: a text of one n-gram scores as low as an unknown one, so a floor would cut short texts.
     """
     shared, names = docs.sparkSession.sparkContext.broadcast(profiles), docs.columns
-    lower = "_" + max(names, key=len)  # longer than any name, so it is free
+    # by number, as names may hold dots and may clash
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = inner.columns[names.index("text")]
 
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, lower):
-            langs, _ = shared.value.predict(b[lower].to_pylist())
-            yield b.select(names).filter(pa.array([x != "und" for x in langs], pa.bool_()))
+        for b in slices(batches, "lower"):
+            yield b.select(inner_names).filter(pa.array(shared.value.accepts(b["lower"].to_pylist()), pa.bool_()))
 
-    return docs.withColumn(lower, F.lower(F.coalesce(F.col("text"), F.lit("")))).mapInArrow(run, docs.schema)
+    inner_names, kind = inner.columns, inner.schema
+    return inner.withColumn("lower", F.lower(F.coalesce(F.col(text), F.lit("")))).mapInArrow(run, kind).toDF(*names)
