@@ -5,11 +5,17 @@ occurrence in all words at the same time, and compacts the arrays; it ends when
 Within one word this is the textbook order (smallest rank first, then leftmost), so results equal the
 sequential algorithm. Several occurrences of a word's smallest pair merge in the same round where no
 pair made by these merges could have come before them.
+
+A word that is still alive after ROUNDS rounds (a long run of signs whose pairs all have one rank, an unbroken text) is finished
+with a queue of its pairs, in the same order and in n log n steps, since rounds that merge one pair each would be quadratic.
 """
 
+import heapq
+
 import numpy as np
 
 NONE = np.int32(2**31 - 1)
+ROUNDS = 64
 
 
 class PairTable:
@@ -23,6 +29,7 @@ class PairTable:
         self.key = np.full(1 << bits, -1, np.int64)
         self.rank = np.full(1 << bits, NONE, np.int32)
         self.merged = np.zeros(1 << bits, np.int32)
+        self._dict = None
         todo, slot, self.probes = np.arange(len(key)), self._slot(key), 1
         while len(todo):
             free = self.key[slot] < 0
@@ -38,6 +45,13 @@ class PairTable:
     def _slot(self, key):
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
+    def as_dict(self) -> dict[int, tuple[int, int]]:
+        """(left << 32 | right) -> (rank, merged id), made when it is first needed."""
+        if self._dict is None:
+            at = np.flatnonzero(self.key >= 0)
+            self._dict = dict(zip(self.key[at].tolist(), zip(self.rank[at].tolist(), self.merged[at].tolist(), strict=True), strict=True))
+        return self._dict
+
     def find(self, left, right):
         """Ranks (NONE: no such pair) and slots, whose merged ids are self.merged[slot]."""
         key = (left.astype(np.int64) << 32) | right
@@ -55,6 +69,28 @@ class PairTable:
         return rank, slot
 
 
+def merge_queue(symbols: list[int], pairs: PairTable) -> list[int]:
+    """Merges one word, smallest rank first, then leftmost."""
+    known, sym, n = pairs.as_dict(), list(symbols), len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    queue = [(known[k][0], i, k) for i in range(n - 1) if (k := sym[i] << 32 | sym[i + 1]) in known]
+    heapq.heapify(queue)
+    while queue:
+        _, i, k = heapq.heappop(queue)
+        j = after[i] if sym[i] >= 0 else n
+        if j >= n or sym[i] << 32 | sym[j] != k:
+            continue
+        sym[i], sym[j] = known[k][1], -1
+        after[i] = j = after[j]
+        if j < n:
+            before[j] = i
+            if (k := sym[i] << 32 | sym[j]) in known:
+                heapq.heappush(queue, (known[k][0], i, k))
+        if (h := before[i]) >= 0 and (k := sym[h] << 32 | sym[i]) in known:
+            heapq.heappush(queue, (known[k][0], h, k))
+    return [x for x in sym if x >= 0]
+
+
 def merge_words(symbols: np.ndarray, sizes: np.ndarray, pairs: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """Merges the words that lie one after another in `symbols`; returns all ids and each word's number."""
     total = len(sizes)
@@ -62,6 +98,7 @@ def merge_words(symbols: np.ndarray, sizes: np.ndarray, pairs: PairTable) -> tup
     sym, alive = symbols.astype(np.int32), np.flatnonzero(sizes)
     size = sizes[alive]
     done: list[tuple] = []
+    queued: list[tuple] = []
     if len(sym):
         rank = np.full(len(sym), NONE, np.int32)
         slot = np.zeros(len(sym), np.int64)
@@ -70,7 +107,15 @@ def merge_words(symbols: np.ndarray, sizes: np.ndarray, pairs: PairTable) -> tup
         inner[ends] = False
         at = np.flatnonzero(inner)
         rank[at], slot[at] = pairs.find(sym[at], sym[at + 1])
+    rounds = 0
     while len(alive):
+        if rounds == ROUNDS:
+            for i, end in zip(alive.tolist(), np.cumsum(size).tolist(), strict=True):
+                ids = np.array(merge_queue(sym[end - size[len(queued)] : end].tolist(), pairs), np.int32)
+                queued.append(([i], [len(ids)], ids))
+            done.extend(queued)
+            break
+        rounds += 1
         starts = np.cumsum(size) - size
         best = np.minimum.reduceat(rank, starts)
         over = best == NONE
