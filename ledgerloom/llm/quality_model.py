@@ -5,7 +5,7 @@ line ends; the share of tokens that repeat their predecessor is one more). Each
 set to unit length, and a linear hinge-loss model is fitted by dual coordinate descent. A logistic curve on margins
 of rows that the fit did not see turns margins into a score in 0..1.
 
-The fit uses at most `rows` labelled texts (default TRAIN_ROWS); scoring covers every text, map-side, with a weight vector of fixed size.
+The fit uses at most `rows` labelled texts (default TRAIN_ROWS) of at most MAX_BYTES together, one an id, without ids whose labels conflict; scoring covers every text, map-side, with a weight vector of fixed size.
 Null and empty texts have no n-grams and get the score of margin bias. With no labels of a kind every score is the
 share of good labels (0.5 without any). Other columns play no part; repeated rows give repeated rows.
 """
@@ -77,7 +77,7 @@ class Model:
 
 
 def _descend(values, index, spans, y, size, c, epochs, seed=7):
-    """Dual coordinate descent for the hinge loss over rows values[a:b], index[a:b]; the last entry of w is the bias."""
+    """Dual coordinate descent for the hinge loss over rows values[a:b], index[a:b]; the last entry of w is the bias. Returns w and the dual values."""
     w = np.zeros(size + 1, np.float64)
     alpha, order = np.zeros(len(y)), np.random.default_rng(seed)
     norm = np.array([float(values[a:b] @ values[a:b]) + 1.0 for a, b in spans])
@@ -96,7 +96,7 @@ def _descend(values, index, spans, y, size, c, epochs, seed=7):
                 w[-1] += step
         if worst < 1e-3 * c:
             break
-    return w
+    return w, alpha
 
 
 def fit(row: np.ndarray, index: np.ndarray, y: np.ndarray, bits: int = BITS, c: float = 4.0, epochs: int = 12, smooth: float = 1.0) -> Model:
@@ -117,7 +117,7 @@ def fit(row: np.ndarray, index: np.ndarray, y: np.ndarray, bits: int = BITS, c:
     values /= np.maximum(length, 1e-9).astype(np.float32)[row]
     starts = np.searchsorted(row, np.arange(len(y) + 1)).tolist()
     ids = np.flatnonzero(learn)
-    w = _descend(values, index, [(starts[i], starts[i + 1]) for i in ids.tolist()], np.where(y[ids] == 1, 1.0, -1.0), size, c, epochs)
+    w, _ = _descend(values, index, [(starts[i], starts[i + 1]) for i in ids.tolist()], np.where(y[ids] == 1, 1.0, -1.0), size, c, epochs)
     m.weights, m.bias = (w[:-1] * m.ratio).astype(np.float32), float(w[-1])
     margin = np.bincount(row, w[index] * values, len(y)) + w[-1]
     m.slope, m.shift = labelled.logistic(margin[~learn], y[~learn])
@@ -135,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             at = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b["_id"], b["label"], pa.ListArray.from_arrays(at, pa.array(index.astype(np.int32)))], ["_id", "label", "grams"])
 
-    found = labelled.sample(docs, labels, label, rows).mapInArrow(run, "_id long, label int, grams array<int>").toArrow().sort_by("_id")
+    some = labelled.sample(docs, labels, label, rows).repartition(16, "_id")
+    found = some.mapInArrow(run, "_id long, label int, grams array<int>").toArrow().sort_by("_id")
     y = found["label"].to_numpy()
     grams = found["grams"].combine_chunks() if len(found) else pa.array([], pa.list_(pa.int32()))
     del found
