@@ -7,14 +7,16 @@ often than in others, weighted by their log odds. At each word the longest patte
 exception phrase (a learned pattern with a neighbour word that occurs in harmless texts only) does not count. The sum of
 weights is normalised by length, and a logistic curve turns it into a score in 0..1.
 
-Learning sees at most `rows` labelled texts that are not held out, near copies once; scoring covers every text,
+Learning sees at most `rows` labelled texts that are not held out (at most MAX_BYTES together, one an id, none with conflicting labels), near copies once; scoring covers every text,
 map-side, with a lexicon of at most `size` entries. Null and empty texts have no hit and get the score of no hits. Other
 columns play no part; repeated rows give repeated rows.
 """
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +104,11 @@ class Lexicon:
         if not hits:
             return 0.0
         if spans:
-            hits = {s: h for s, h in hits.items() if not any(a <= s and s + len(" ") <= b for a, b in spans)}
+            # the furthest end of all phrases that begin at or before a place tells whether one of them covers it
+            spans.sort()
+            begins, furthest = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+            inside = {s for s in hits if (k := bisect_right(begins, s)) and furthest[k - 1] > s}
+            hits = {s: h for s, h in hits.items() if s not in inside}
         return sum(w for _, w in hits.values()) / max(1, folded.count(" ") - 1) ** self.power
 
     def scores(self, folded: list[str]) -> np.ndarray:
@@ -144,7 +150,7 @@ def learn(texts: list[str], y: np.ndarray, size: int = SIZE, support: int = 4, o
     lexicon._machine = None
     best = None
     fit_x = kept_out if len({int(y[i]) for i in kept_out}) == 2 else fitted
-    for power in (0.0, 0.25, 0.5, 0.75, 1.0):
+    for power in (0.25, 0.5, 0.75, 1.0):
         lexicon.power = power
         x = np.log1p(10 * np.array([lexicon.density(texts[i]) for i in fit_x]))
         a, b = labelled.logistic(x, y[fit_x])
