@@ -6,12 +6,15 @@ integral is the source's cumulative demand; documents of a source stand in a fix
 document's training position is the time at which demand reaches it, the inverse of that integral. Documents that
 demand passes k times are taken k times; the result is range-sorted by position.
 
-Running sums need no global order: a source is dealt into hash buckets, each with the words before it, so
-the hottest source is spread over `buckets` groups. Sizes are summed before anything moves.
-
-Nulls: a null source is a source of its own, last in order; a null text has size 0. Empty texts take no words. A source
-without words has target 0 and its documents stay once. Repeated rows count as often as they occur; ties in the hash
-order fall to (doc_id, size). Extra columns are carried by copies() and ignored by plan().
+Running sums need no global order: a source is dealt into buckets of its hash order, each with the words before it. There is a
+bucket for every ROWS_A_BUCKET rows of the table, so the hottest source is spread and no window grows with the input. Sizes are
+summed before anything moves. plan() counts words once and goes on with narrow rows; copies() counts them twice, since whole rows
+would cost more to write than words to count.
+
+Nulls: a null source is a source of its own, last in order; a null text has size 0. Empty texts take no words, and are taken
+once more than their source's whole passes only where the source has words left over. A source
+without words has target 0 and its documents stay once. Repeated rows count as often as they occur; the hash order is that of
+doc_id and text, its ties fall to (doc_id, size). Extra columns are carried by copies() and ignored by plan().
 """
 
 from collections.abc import Sequence
@@ -20,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import SPACE_CLASS, SPACES, materialise
+from ledgerloom.llm.common import SPACE_CLASS, SPACES, materialise, whole_row
 
 #: Weights that sources take in turn, in code point order.
 WEIGHTS = (1, 2, 3)
 #: Rate over training time for each weight: (time, rate) knots. Heavier sources come later.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
-CAP, BUCKETS = 3, 1024
+CAP, BUCKETS, ROWS_A_BUCKET = 3, 1024, 8192
 
 
 def word_count(text: Column) -> Column:
@@ -34,15 +37,15 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE_CLASS + "+"))).cast("long")
 
 
-def _keyed(docs: DataFrame, buckets: int) -> DataFrame:
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def _keyed(docs: DataFrame, buckets: int, *row: Column) -> DataFrame:
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
     return docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+        *row,
         F.col("doc_id").cast("long").alias("_id"),
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))).alias("_src"),
         word_count(F.col("text")).alias("_size"),
         order.alias("_order"),
-        F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int").alias("_bucket"),
+        F.floor(F.conv(F.substring(order, 1, 12), 16, 10).cast("double") * F.lit(float(buckets)) / F.lit(2.0**48)).cast("long").alias("_bucket"),
     )
 
 
@@ -83,9 +86,11 @@ def position(demand: Column, klass: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def _taken(docs: DataFrame, weights, cap, schedules, buckets) -> DataFrame:
-    keyed = _keyed(docs, buckets)
-    sums = materialise(keyed.groupBy("_src", "_bucket").agg(F.sum("_size").alias("_words")), "mix-buckets")
+def _buckets(docs: DataFrame, buckets: int | None) -> int:
+    return buckets or max(BUCKETS, docs.count() // ROWS_A_BUCKET)
+
+
+def _taken(keyed: DataFrame, sums: DataFrame, weights, cap) -> DataFrame:
     goal = targets(sums.groupBy("_src").agg(F.sum("_words").alias("_total")), weights, cap)
     earlier = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_src", "_bucket", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_offset")).join(goal, "_src")
@@ -94,7 +99,7 @@ def _taken(docs: DataFrame, weights, cap, schedules, buckets) -> DataFrame:
     rows = keyed.join(offsets, ["_src", "_bucket"]).withColumn("_at", at)
     passes = F.when(F.col("_total") > 0, F.floor(F.col("_target") / F.nullif(F.col("_total"), F.lit(0)).cast("double"))).otherwise(F.lit(1)).cast("long")
     rest = F.col("_target") - (passes * F.col("_total")).cast("double")
-    again = (F.col("_total") > 0) & ((2 * F.col("_at") + F.col("_size")).cast("double") <= F.lit(2.0) * rest)
+    again = (F.col("_total") > 0) & (rest > 0) & ((2 * F.col("_at") + F.col("_size")).cast("double") <= F.lit(2.0) * rest)
     return rows.withColumn("_copies", passes + F.when(again, F.lit(1)).otherwise(F.lit(0)))
 
 
@@ -103,9 +108,15 @@ def _time(copy: Column, schedules) -> Column:
     return F.coalesce(position(demand, F.col("_class"), schedules), F.lit(0.0))
 
 
-def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, schedules=SCHEDULES, buckets: int = BUCKETS) -> DataFrame:
+def _sums(keyed: DataFrame) -> DataFrame:
+    return materialise(keyed.groupBy("_src", "_bucket").agg(F.sum("_size").alias("_words")), "mix-buckets")
+
+
+def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, schedules=SCHEDULES, buckets: int | None = None) -> DataFrame:
     """Per row: doc_id, size, source_size, target (its source's), taken, copies, position of the first copy; range-sorted by position."""
-    rows = _taken(docs.select("doc_id", "source", "text"), weights, cap, schedules, buckets)
+    narrow = docs.select("doc_id", "source", "text")
+    keyed = materialise(_keyed(narrow, _buckets(narrow, buckets)), "mix-sizes")
+    rows = _taken(keyed, _sums(keyed), weights, cap)
     out = rows.select(
         F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"),
         (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"),
@@ -114,9 +125,10 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, sche
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
-def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, schedules=SCHEDULES, buckets: int = BUCKETS) -> DataFrame:
+def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, schedules=SCHEDULES, buckets: int | None = None) -> DataFrame:
     """The training set: the rows of docs, each as often as it is taken, range-sorted by training position."""
-    rows = _taken(docs, weights, cap, schedules, buckets).filter("_copies > 0")
+    n = _buckets(docs, buckets)
+    rows = _taken(_keyed(docs, n, whole_row(docs).alias("_row")), _sums(_keyed(docs, n)), weights, cap).filter("_copies > 0")
     each = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies").cast("int") - 1)))
     timed = each.select("_row", _time(F.col("_copy"), schedules).alias("_position"), "_order")
     return timed.repartitionByRange("_position", "_order").sortWithinPartitions("_position", "_order").select("_row.*")
@@ -124,7 +136,7 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, sc
 
 SQL = """
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')) AS ord,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS total FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rk FROM sources),
@@ -145,7 +157,7 @@ placed AS (
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
 passed AS (SELECT *, CASE WHEN total > 0 THEN CAST(floor(target / CAST(total AS DOUBLE)) AS BIGINT) ELSE 1 END AS passes FROM placed),
 taken AS (
-  SELECT *, passes + CASE WHEN total > 0 AND CAST(2 * at_ + size AS DOUBLE) <= 2.0 * (target - CAST(passes * total AS DOUBLE)) THEN 1 ELSE 0 END AS copies,
+  SELECT *, passes + CASE WHEN total > 0 AND target - CAST(passes * total AS DOUBLE) > 0 AND CAST(2 * at_ + size AS DOUBLE) <= 2.0 * (target - CAST(passes * total AS DOUBLE)) THEN 1 ELSE 0 END AS copies,
          coalesce(CAST(at_ AS DOUBLE) / nullif(target, 0), 0) AS u FROM passed)
 SELECT doc_id, size, total AS source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies,
        CASE WHEN copies > 0 THEN round(coalesce(CASE
