@@ -7,14 +7,20 @@
    buckets. Buckets with the same pivot make a cluster; each member is paired with its pivot only, never with all others.
 4. Pairs whose collision-corrected sketch similarity is too low are dropped; the rest are confirmed on full sets, and the
    links' connected components are found.
-5. What is left is done exactly: in every cluster, the members outside the pivot's component are the queries against all
-   members, in blocks, on full sets. So no pair in a common bucket is lost, however large the bucket.
+5. What is left: in every cluster, the members outside the pivot's component are the queries against all members. Small
+   clusters are compared on full sets at once. In large ones sketches are compared first, in blocks, and a full set goes only to
+   the blocks in which a sketch is near enough to its own. So every pair in a common bucket is looked at, however large the bucket.
 
-Recall: at similarity 0.8 a pair has no band in common with probability (1 - 0.8^5)^32 = 3e-6; the sketch drops a pair
-only 6 standard deviations below the threshold, and such pairs come up again in step 5. Sets hold 64-bit hashes.
+Recall: at similarity 0.8 a pair has no band in common with probability (1 - 0.8^5)^32 = 3e-6, and its sketch is too far off
+(6 standard deviations) with probability 1e-9. Links are confirmed on full sets of 64-bit shingle hashes.
+
+Hot keys: statistics of classes, clusters and components, and the joins on a pivot or a class, are salted; joins on a band key are
+left to the skew-join rule of adaptive execution, as salting all bands would copy the many small buckets.
 
 Nulls and texts without words have an empty set and no link. Fewer words than a shingle: the whole sequence is the one
-shingle. A null doc_id is larger than any in component_id. Repeated rows are copies. Extra columns play no part.
+shingle. A null doc_id is larger than any in component_id. Repeated rows are copies; extra columns play no part. dedup() keeps
+one row of each group: the one with the smallest doc_id (then the smallest hash of its text, then of all columns); rows that repeat
+doc_id and text are one document. Tables written on the way are deleted at the end.
 """
 
 from collections.abc import Iterator
@@ -24,15 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import boxed, flat, gram_hashes, materialise, mix, slices, with_group, word_hashes, words
+from ledgerloom.llm.common import flat, gram_hashes, id_keys, materialise, mix, one_of_each, salted_join, scratch, slices, with_group, word_hashes, words
 from ledgerloom.shipping import ship
 
 ROWS, BANDS, BITS = 5, 32, 4
 HASHES = ROWS * BANDS
 #: A sketch estimate this far below the threshold drops a pair (6 standard deviations of the estimate).
 MARGIN = 0.2
-#: Members, and elements of their sets, in one block of a cluster.
-BLOCK_ROWS, BLOCK_ITEMS = 512, 300_000
+#: Members in one block of a cluster beside the pivot alone, members in a block of full sets, elements of the sets in
+#: either, and blocks of full sets whose sketches are compared together.
+STAR_ROWS, BLOCK_ROWS, BLOCK_ITEMS, GROUP = 64, 256, 300_000, 8
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = (_rng.integers(0, 2**32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
@@ -217,16 +224,60 @@ def _confirm(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.repartition("p", "ub", "mb").sortWithinPartitions("p", "ub", "mb").mapInArrow(run, "a long, b long")
 
 
-def _block_count(size: str, items: str) -> Column:
-    return F.greatest(F.ceil(F.col(size) / BLOCK_ROWS), F.ceil(F.col(items) / BLOCK_ITEMS)).cast("int")
+def near_blocks(table: pa.Table, percent: int) -> tuple[np.ndarray, ...]:
+    """Of one block of sketches: (row, block of the other side) wherever a query and a target of another component may link, for queries and for targets."""
+    comp, sub, n = (table[c].to_numpy() for c in ("comp", "sub", "n"))
+    qs, ts = np.flatnonzero(table["q"].to_numpy()), np.flatnonzero(table["t"].to_numpy())
+    bits = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+    base = 2.0**-BITS
+    most = HASHES * (1 - base) * (1 - (percent / 100 - MARGIN))
+    width = int(sub.max()) + 1 if len(sub) else 1
+    asked, told = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(qs), 32):
+        q = qs[i : i + 32]
+        x = bits[q][:, None, :] ^ bits[ts][None, :, :]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        off = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1, dtype=np.int64)
+        small, big = np.minimum(n[q][:, None], n[ts]), np.maximum(n[q][:, None], n[ts])
+        a, b = np.nonzero((off <= most) & (100 * small >= percent * big) & (comp[q][:, None] != comp[ts]))
+        asked.append(np.unique(q[a] * width + sub[ts[b]]))
+        told.append(np.unique(ts[b] * width + sub[q[a]]))
+    asked, told = np.unique(np.concatenate(asked)), np.unique(np.concatenate(told))
+    return asked // width, asked % width, told // width, told % width
+
+
+def _routed(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: p, ub, mb, sub, node, comp, n, sketch, q, t, by blocks of sketches -> rows for _confirm, by blocks of full sets."""
 
+    ship(rows.sparkSession)
 
-def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union of shingle sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, ["p", "ub", "mb"]):
+            qi, qb, ti, tb = near_blocks(table, percent)
+            if len(qi):
+                row, sub = np.concatenate([qi, ti]), table["sub"].to_numpy()
+                ub, mb = np.concatenate([sub[qi], tb]), np.concatenate([qb, sub[ti]])
+                ask = np.arange(len(row)) < len(qi)
+                taken = table.select(["p", "node", "comp"]).take(row).combine_chunks()
+                cols = [taken["p"].chunk(0), pa.array(ub.astype(np.int32)), pa.array(mb.astype(np.int32)), taken["node"].chunk(0), taken["comp"].chunk(0), pa.array(ask), pa.array(~ask)]
+                yield pa.RecordBatch.from_arrays(cols, ["p", "ub", "mb", "node", "comp", "q", "t"])
+
+    dealt = rows.select("p", "ub", "mb", "sub", "node", "comp", "n", "sketch", "q", "t").repartition("p", "ub", "mb").sortWithinPartitions("p", "ub", "mb")
+    return dealt.mapInArrow(run, "p long, ub int, mb int, node long, comp long, q boolean, t boolean")
+
+
+def _block_count(size: str, items: str, rows: int) -> Column:
+    return F.greatest(F.ceil(F.col(size) / rows), F.ceil(F.col(items) / BLOCK_ITEMS), F.lit(1)).cast("int")
+
+
+def _groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per row: doc_id, h (of the text), n (set size), best: the first of its group by (doc_id is null, doc_id, h)."""
     sig = materialise(signatures(docs, size), "signatures")
-    same = with_group(sig.filter("n > 0").select("rid", "doc_id", "h", "n", "d1", "d2"), ["d1", "d2"], F.col("rid"), {"node": (F.min("rid"), "min"), "low": (F.min("doc_id"), "min")})
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    same = with_group(sig.filter("n > 0").select("rid", "doc_id", "h", "n", "d1", "d2"), ["d1", "d2"], F.col("rid"), {"node": (F.min("rid"), "min"), "low": (F.min(first), "min")})
     same = materialise(same.select("rid", "doc_id", "h", "n", "node", "low"), "set-classes")
-    own = same.filter("rid = node").select("node", "n", "low", F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    own = same.filter("rid = node").select("node", "n", "low", F.col("h").alias("_h"), *[c.alias(k) for k, c in id_keys(F.col("doc_id")).items()])
     reps = materialise(sig.select(F.col("rid").alias("node"), "bands", "sketch").join(own, "node"), "representatives")
 
     # buckets of more than one class, each with its pivot
@@ -237,9 +288,9 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     pivots = materialise(cells.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("p")), "pivots")
     member = materialise(cells.join(pivots, "key").filter("p <> node").select("p", "node").distinct(), "clusters")
 
-    # full sets of the classes that have a candidate
-    wanted = member.select("node").unionByName(member.select(F.col("p").alias("node"))).distinct().join(own.select("node", "_id", "_h"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    # full sets of the classes that have a candidate, one a class
+    wanted = member.select("node").unionByName(member.select(F.col("p").alias("node"))).distinct().join(own.select("node", "_key", "_none", "_h"), "node")
+    texts = docs.select(F.xxhash64("text").alias("_h"), "text", *[c.alias(k) for k, c in id_keys(F.col("doc_id")).items()])
 
     ship(docs.sparkSession)
 
@@ -247,48 +298,60 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b["node"], _lists([s.view(np.int64) for s in shingle_sets(b["text"], size)])], ["node", "items"])
 
-    picked = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["h"] == wanted["_h"])).select("node", "text")
+    picked = texts.join(wanted, ["_key", "_none", "_h"]).select("node", "text").dropDuplicates(["node"])
     sets = materialise(picked.mapInArrow(full, "node long, items array<long>"), "sets")
 
     # every member against its pivot: by sketch, then on full sets
     slim = reps.select("node", "n", "sketch")
-    pair = member.join(slim, "node").join(slim.select(F.col("node").alias("p"), F.col("n").alias("pn"), F.col("sketch").alias("ps")), "p")
+    pair = salted_join(member.join(slim, "node"), slim.select(F.col("node").alias("p"), F.col("n").alias("pn"), F.col("sketch").alias("ps")), "p", F.col("node"))
     near = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (similarity(F.col("sketch"), F.col("ps")) >= percent / 100 - MARGIN)
     pair = materialise(pair.filter(near).select("p", "node", "n"), "pairs")
     sized = with_group(pair, ["p"], F.col("node"), {"size": (F.count("*"), "sum"), "total": (F.sum("n"), "sum")})
-    sized = sized.withColumn("blocks", _block_count("size", "total"))
+    sized = sized.withColumn("blocks", _block_count("size", "total", STAR_ROWS))
     target = sized.select("p", F.lit(0).alias("ub"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mb"), "node", F.col("node").alias("comp"), F.lit(False).alias("q"), F.lit(True).alias("t"))
     query = sized.select("p", "blocks").distinct().select("p", F.lit(0).alias("ub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mb"), F.col("p").alias("node"), F.col("p").alias("comp"), F.lit(True).alias("q"), F.lit(False).alias("t"))
     star = materialise(_confirm(target.unionByName(query), sets, percent), "links")
 
     # the rest: members outside their pivot's component against their whole cluster
     found = materialise(components(star), "components")
-    comp = lambda name, out: found.select(F.col("node").alias(name), F.col("root").alias(out))
     whole = member.unionByName(member.select("p", F.col("p").alias("node")).distinct())
-    whole = whole.join(comp("node", "comp"), "node", "left").join(comp("p", "pcomp"), "p", "left")
-    whole = whole.select("p", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("pcomp", "p").alias("pcomp")).join(slim.select("node", "n"), "node")
+    whole = whole.join(found.select("node", F.col("root").alias("comp")), "node", "left")
+    whole = salted_join(whole, found.select(F.col("node").alias("p"), F.col("root").alias("pcomp")), "p", F.col("node"), "left")
+    whole = whole.select("p", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("pcomp", "p").alias("pcomp")).join(slim, "node")
     whole = whole.withColumn("open", F.col("comp") != F.col("pcomp"))
-    sized = with_group(whole, ["p"], F.col("node"), {"size": (F.count("*"), "sum"), "left": (F.count(F.when(F.col("open"), 1)), "sum"), "total": (F.sum("n"), "sum")})
-    sized = sized.filter("size > 2 and left > 0").withColumn("blocks", _block_count("size", "total")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    alone = sized.filter("blocks = 1").select("p", F.lit(0).alias("ub"), F.lit(0).alias("mb"), "node", "comp", F.col("open").alias("q"), F.lit(True).alias("t"))
+    opened = lambda x: F.sum(F.when(F.col("open"), x).otherwise(F.lit(0)))
+    sized = with_group(whole, ["p"], F.col("node"), {"size": (F.count("*"), "sum"), "total": (F.sum("n"), "sum"), "left": (opened(F.lit(1)), "sum"), "left_total": (opened(F.col("n")), "sum")})
+    sized = sized.filter("size > 2 and left > 0").withColumn("blocks", _block_count("size", "total", BLOCK_ROWS)).withColumn("asking", _block_count("left", "left_total", BLOCK_ROWS))
+    sized = materialise(sized.select("p", "node", "comp", "n", "sketch", "open", "blocks", "asking"), "open-clusters")
+    rest = sized.filter("blocks = 1").select("p", F.lit(0).alias("ub"), F.lit(0).alias("mb"), "node", "comp", F.col("open").alias("q"), F.lit(True).alias("t"))
     large = sized.filter("blocks > 1")
-    asked = large.filter("open").select("p", F.col("block").alias("ub"), every.alias("mb"), "node", "comp", F.lit(True).alias("q"), F.lit(False).alias("t"))
-    told = large.select("p", every.alias("ub"), F.col("block").alias("mb"), "node", "comp", F.lit(False).alias("q"), F.lit(True).alias("t"))
-    more = materialise(_confirm(alone.unionByName(asked).unionByName(told), sets, percent), "links")
+    if large.limit(1).count():
+        sub = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / GROUP).cast("int")))
+        asked = large.filter("open").withColumn("sub", sub("asking")).select("*", F.floor(F.col("sub") / GROUP).cast("int").alias("ub"), upto("blocks").alias("mb"), F.lit(True).alias("q"), F.lit(False).alias("t"))
+        told = large.withColumn("sub", sub("blocks")).select("*", upto("asking").alias("ub"), F.floor(F.col("sub") / GROUP).cast("int").alias("mb"), F.lit(False).alias("q"), F.lit(True).alias("t"))
+        rest = rest.unionByName(_routed(asked.unionByName(told), percent))
+    more = materialise(_confirm(rest, sets, percent), "links")
     if more.limit(1).count():
         tree = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
         found = materialise(components(tree.unionByName(more)), "components")
 
     low = found.join(own.select("node", "low"), "node")
     low = materialise(with_group(low, ["root"], F.col("node"), {"best": (F.min("low"), "min")}).select("node", "best"), "lowest")
-    linked = same.join(low, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("best", "low").alias("component_id"))
-    empty = sig.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = salted_join(same, low, "node", F.col("rid"), "left").select("doc_id", "h", "n", F.coalesce("best", "low").alias("best"))
+    return linked.unionByName(sig.filter("n = 0").select("doc_id", "h", "n", first.alias("best")))
+
+
+def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union of shingle sets."""
+    with scratch(docs.sparkSession) as keep:
+        best = F.col("best.doc_id")
+        return keep(_groups(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), best.alias("component_id"), F.col("doc_id").eqNullSafe(best).alias("kept")), "classes")
 
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, all their columns: one document of each group."""
-    stay = classes(docs, size, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    keyed = boxed(docs, _key=F.col("doc_id").cast("long"))
-    return keyed.join(stay, keyed["_key"].eqNullSafe(stay["_id"]), "left_semi").select("_row.*")
+    with scratch(docs.sparkSession) as keep:
+        rows = _groups(docs, size, percent).filter(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h")))
+        stay = keep(rows.select(F.col("h").alias("_h"), *[c.alias(k) for k, c in id_keys(F.col("doc_id")).items()]).distinct(), "first-of-group")
+    return one_of_each(docs, stay, **id_keys(F.col("doc_id")), _h=F.xxhash64("text"))
