@@ -34,7 +34,8 @@ from ledgerloom.llm.token_cache import WORDS, CachedTokenizer
 from ledgerloom.shipping import ship
 
 HEADER = struct.Struct("<4sBBHIIQQQQ")
-BLOCK, SHARD = 4096, 1 << 20
+#: Ids a block, and tokens a shard: 64 MB and more in 16 bits, so that files are not many.
+BLOCK, SHARD = 4096, 1 << 25
 
 
 def pack(ids: np.ndarray, bits: int, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
@@ -97,7 +98,7 @@ class Shard:
         return self.run(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
 
 
-def shards(raw: bytes) -> Iterator[Shard]:
+def shards(raw: bytes | pa.Buffer) -> Iterator[Shard]:
     view = memoryview(raw)
     while len(view):
         shard = Shard(view)
@@ -152,7 +153,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for value in b["content"]:
-                for s in shards(value.as_buffer().to_pybytes()):
+                for s in shards(value.as_buffer()):
                     n = np.diff(s.ends, prepend=0)
                     ids = s.run(0, s.tokens).astype("<u4")
                     raw = memoryview(ids).cast("B")
