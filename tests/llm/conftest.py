@@ -39,5 +39,5 @@ def clashing(docs):
     """Extra columns whose names operators might use themselves."""
     from pyspark.sql import functions as F
 
-    names = ("node", "p", "size", "h", "rid", "t", "kept", "score", "label", "_id", "_key", "rank", "blocks", "position", "part")
+    names = ("node", "p", "size", "h", "rid", "t", "kept", "score", "label", "_id", "_key", "rank", "blocks", "position", "part", "_row", "_hash", "_salt", "_h", "a.b")
     return docs.withColumns({n: F.lit("x") for n in names})

@@ -45,6 +45,21 @@ def test_pipeline(spark, docs, tmp_path):
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, d).collect()) == Counter(steps["sentencepiece"])
 
 
+def test_pipeline_on_empty_and_unlabelled_tables(spark, docs, none, clashing, tmp_path):
+    none.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    few = clashing.filter("doc_id in (0, 1, 2, 300, 301, 303, 402, 403)").withColumn("lang", F.lit(None).cast("string"))
+    few.write.parquet(f"{tmp_path}/few/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/few/documents.parquet")
+    kept = corpus_pipeline.language_stage(spark, table, f"{tmp_path}/few")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 402, 403] and kept.columns == clashing.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, f"{tmp_path}/few")
+        assert table.columns == clashing.columns
+    ids = {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/few").collect()}
+    assert ids <= {0, 1, 2, 403} and 403 in ids
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
