@@ -1,16 +1,23 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, mixing, SentencePiece encoding.
 
-Every stage works on all that the one before kept, written as Parquet in the shared folder and read again.
+Every stage works on all that the one before kept, written as Parquet in the shared folder and read again; what a stage
+writes on its way is deleted when it ends.
+
+Null texts and texts without letters go in the first stage, whatever lang and source say; where no document has a known
+lang, all with letters stay. A null doc_id is smaller than any in exact dedup and larger than any in near dedup. Of rows that
+repeat doc_id and text one stays. Documents of a null source are a source of their own. The mix takes a document several times, or
+not at all; so ids repeat from there on. An empty table gives an empty result. Extra columns, whatever their names, are kept up to
+the last stage and play no part.
 """
 
 import public_tokenizers
 
 from ledgerloom.llm import exact_dedup, language_id, mixing, near_dedup, pieces
-from ledgerloom.llm.common import materialise
+from ledgerloom.llm.common import scratch
 
 
 def language_stage(spark, docs, sf_dir):
-    """Documents without a known language go (null or without letters)."""
+    """Documents without a language go (null or without letters)."""
     return language_id.accept(docs, language_id.train(docs))
 
 
@@ -43,5 +50,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as keep:  # what a stage writes on its way goes as well
+            docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
