@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.numeric import clip, div0, near_any
+from ledgerloom.sources.io import written
 
 #: Fixed values of the definitions.
 STRUCTURING = (50_000, 100_000, 1_000_000)
@@ -33,19 +34,27 @@ def _acct():
 
 
 
-def robust_z(days: DataFrame, column: str, out: str) -> DataFrame:
-    """(x - median) / (1.4826 MAD) within the account; MAD 0: standard deviation; that 0: 1."""
-    x = F.col(column).cast("double")
-    d = days.withColumn("_med", F.percentile(x, F.lit(0.5)).over(_acct())).withColumn("_dev", F.abs(x - F.col("_med")))
-    d = d.withColumn("_mad", 1.4826 * F.percentile("_dev", F.lit(0.5)).over(_acct())).withColumn("_sd", F.stddev_pop(x).over(_acct()))
-    scale = F.when(F.col("_mad") > 0, F.col("_mad")).when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0))
-    return d.withColumn(out, (x - F.col("_med")) / scale).drop("_med", "_dev", "_mad", "_sd")
+def robust_z(days: DataFrame, **columns: str) -> DataFrame:
+    """For each name=column: (x - median) / (1.4826 MAD) within the account; MAD 0: standard deviation; that 0: 1.
+
+    All columns share two passes of the same window.
+    """
+    middle = lambda x: F.percentile(x, F.lit(0.5)).over(_acct())
+    x = {n: F.col(c).cast("double") for n, c in columns.items()}
+    d = days.withColumns({f"_med_{n}": middle(v) for n, v in x.items()} | {f"_sd_{n}": F.stddev_pop(v).over(_acct()) for n, v in x.items()})
+    d = d.withColumns({f"_mad_{n}": 1.4826 * middle(F.abs(v - F.col(f"_med_{n}"))) for n, v in x.items()})
+
+    def z(n: str) -> Column:
+        scale = F.when(F.col(f"_mad_{n}") > 0, F.col(f"_mad_{n}")).when(F.col(f"_sd_{n}") > 0, F.col(f"_sd_{n}")).otherwise(F.lit(1.0))
+        return (x[n] - F.col(f"_med_{n}")) / scale
+
+    return d.withColumns({n: z(n) for n in x}).drop(*[f"{k}{n}" for n in x for k in ("_med_", "_sd_", "_mad_")])
 
 
 def suspicion(days: DataFrame) -> DataFrame:
     """days with score: the mean of symmetry, volume burst, velocity burst, structuring and round shares, 12 places."""
     d = days.withColumn("_total", F.col("credit") + F.col("debit")).withColumn("_days", F.count("*").over(_acct()))
-    d = robust_z(robust_z(d, "_total", "_zt"), "n_txn", "_zn")
+    d = robust_z(d, _zt="_total", _zn="n_txn")
     burst = lambda z: F.when(F.col("_days") > 2, clip(F.col(z) / 4.0, 0.0, 1.0)).otherwise(F.lit(0.0))
     per = F.greatest("n_txn", F.lit(1))
     s = div0(F.least("credit", "debit"), F.greatest("credit", "debit")) + burst("_zt") + burst("_zn") + F.col("n_near_threshold") / per + F.col("n_round") / per
@@ -53,56 +62,77 @@ def suspicion(days: DataFrame) -> DataFrame:
 
 
 def otsu(scores: DataFrame) -> DataFrame:
-    """account_id, threshold, separation: the 64-bin split with the largest between-class variance, its first bin's middle."""
+    """account_id, threshold, separation: the 64-bin split with the largest between-class variance, its first bin's middle.
+
+    One exchange by account: all its steps are windows and aggregates over it.
+    """
     top = F.greatest(F.max("score").over(_acct()), F.lit(1e-9))
-    binned = scores.withColumn("_hi", top).withColumn("bin", F.least(F.floor(F.col("score") / F.col("_hi") * BINS), F.lit(BINS - 1)).cast("int"))
+    binned = scores.select("account_id", "score").withColumn("_hi", top).withColumn("bin", F.least(F.floor(F.col("score") / F.col("_hi") * BINS), F.lit(BINS - 1)).cast("int"))
     h = binned.groupBy("account_id", "_hi", "bin").agg(F.count("*").alias("n"))
     mid = (F.col("bin") + 0.5) * F.col("_hi") / BINS
     up = Window.partitionBy("account_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     h = h.withColumn("_nm", F.col("n") * mid).withColumn("_n", F.sum("n").over(_acct())).withColumn("_m", F.sum("_nm").over(_acct()))
-    h = h.withColumn("_n0", F.sum("n").over(up)).withColumn("_m0", F.sum("_nm").over(up)).filter("_n0 is not null")
+    h = h.withColumn("_n0", F.sum("n").over(up)).withColumn("_m0", F.sum("_nm").over(up))
     n1 = F.col("_n") - F.col("_n0")
     gap = F.col("_m0") / F.col("_n0") - (F.col("_m") - F.col("_m0")) / n1
     h = h.withColumn("between", F.round(F.col("_n0") / F.col("_n") * (n1 / F.col("_n")) * gap * gap, 12))
-    best = h.groupBy("account_id").agg(F.max(F.struct(F.col("between"), (-F.col("bin")).alias("minus"), mid.alias("mid"))).alias("b"))
-    every = binned.groupBy("account_id").agg(F.max("_hi").alias("_hi"))
-    x = every.join(best, "account_id", "left")
+    best = F.max(F.when(F.col("_n0").isNotNull(), F.struct(F.col("between"), (-F.col("bin")).alias("minus"), mid.alias("mid"))))
+    x = h.groupBy("account_id").agg(best.alias("b"), F.max("_hi").alias("_hi"))
     return x.select("account_id", F.round(F.coalesce("b.mid", F.col("_hi") / 2), 12).alias("threshold"), F.coalesce("b.between", F.lit(0.0)).alias("separation"))
 
 
+def _widened(s: Column, e: Column, i: str = "i") -> tuple[Column, Column]:
+    """The interval s..e of one or two days as MIN_DAYS days where there are so many, each time by the larger neighbour.
+
+    It is looked at from the row of day e, whose two neighbours on either side hold all days that it may take.
+    """
+    at = {-2: F.col("b2"), -1: F.col("b1"), 1: F.col("a1"), 2: F.col("a2")}
+
+    def score(offset: Column) -> Column:
+        out = F.lit(None).cast("double")
+        for k, v in at.items():
+            out = F.when(offset == k, v).otherwise(out)
+        return out
+
+    end = F.col(i)
+    lo, hi = s, e
+    for _ in range(MIN_DAYS - 1):
+        left, right = score(lo - 1 - end), score(hi + 1 - end)
+        short = hi - lo + 1 < MIN_DAYS
+        go_left = short & left.isNotNull() & (right.isNull() | (left > right))
+        go_right = short & ~go_left & right.isNotNull()
+        lo, hi = F.when(go_left, lo - 1).otherwise(lo), F.when(go_right, hi + 1).otherwise(hi)
+    return lo, hi
+
+
 def windows(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """account_id, start, end, days, strength: the interval of observed days with the largest sum of score - threshold.
 
     Prefix sums: the best end is the first maximum of the running sum less its running minimum, the best start the day
-    after the last place of that minimum. Intervals of 1 or 2 days widen to 3, towards the larger neighbour.
+    after the last place of that minimum. Intervals of 1 or 2 days widen to 3, towards the larger neighbour. After the join with the
+    thresholds everything happens in windows over an account.
     """
     order = Window.partitionBy("account_id").orderBy("day")
     to_now = order.rowsBetween(Window.unboundedPreceding, 0)
-    d = scores.join(thresholds, "account_id").withColumn("i", F.row_number().over(order)).withColumn("x", F.round(F.col("score") - F.col("threshold"), 12))
-    d = d.withColumn("p", F.round(F.sum("x").over(to_now), 9))
+    d = scores.select("account_id", "day", "score").join(thresholds, "account_id").withColumn("x", F.round(F.col("score") - F.col("threshold"), 12))
+    near = {"b1": F.lag("score", 1), "b2": F.lag("score", 2), "a1": F.lead("score", 1), "a2": F.lead("score", 2)}
+    d = d.withColumns({"i": F.row_number().over(order), "p": F.round(F.sum("x").over(to_now), 9)} | {n: f.over(order) for n, f in near.items()})
     d = d.withColumn("q", F.coalesce(F.lag("p").over(order), F.lit(0.0)))
     low = F.min(F.struct(F.col("q"), (-F.col("i")).alias("minus"))).over(to_now)
     d = d.withColumn("low", low).withColumn("gain", F.round(F.col("p") - F.col("low.q"), 9))
-    best = d.groupBy("account_id").agg(F.max(F.struct("gain", (-F.col("i")).alias("minus"), (-F.col("low.minus")).alias("s"))).alias("b"), F.count("*").alias("n"))
-    best = best.filter("b.gain > 0").select("account_id", "n", F.col("b.s").alias("s"), (-F.col("b.minus")).alias("e"))
-    for _ in range(MIN_DAYS - 1):
-        side = lambda at, i: d.select("account_id", F.col("i").alias(at), F.col("score").alias(f"v_{at}"))
-        best = best.withColumn("l", F.col("s") - 1).withColumn("r", F.col("e") + 1).join(side("l", 0), ["account_id", "l"], "left").join(side("r", 0), ["account_id", "r"], "left")
-        short = F.col("e") - F.col("s") + 1 < MIN_DAYS
-        left = short & F.col("v_l").isNotNull() & (F.col("v_r").isNull() | (F.col("v_l") > F.col("v_r")))
-        right = short & ~left & F.col("v_r").isNotNull()
-        best = best.select("account_id", "n", F.when(left, F.col("s") - 1).otherwise(F.col("s")).alias("s"), F.when(right, F.col("e") + 1).otherwise(F.col("e")).alias("e"))
-    inside = d.join(best, "account_id").filter(F.col("i").between(F.col("s"), F.col("e")))
-    return inside.groupBy("account_id").agg(F.min("day").alias("start"), F.max("day").alias("end"), F.count("*").alias("days"), F.round(F.avg("score"), 4).alias("strength"))
+    lo, hi = _widened(-F.col("low.minus"), F.col("i"))
+    best = F.max(F.struct("gain", (-F.col("i")).alias("minus"), lo.alias("s"), hi.alias("e"))).over(_acct())
+    d = d.withColumn("b", best).filter((F.col("b.gain") > 0) & F.col("i").between(F.col("b.s"), F.col("b.e")))
+    return d.groupBy("account_id").agg(F.min("day").alias("start"), F.max("day").alias("end"), F.count("*").alias("days"), F.round(F.avg("score"), 4).alias("strength"))
 
 
 def detect(view: DataFrame, risk: DataFrame | None = None, min_risk: float = 0.0) -> DataFrame:
     """account_id, suspicious_start, suspicious_end, window_strength, window_confidence, n_days_observed.
 
     Accounts below min_risk (an account without a risk counts as 1) or with fewer than 5 transactions get no window.
-    Heavy work runs on the accounts that can get one.
+    Heavy work runs on the accounts that can get one. The daily series and the scores are written once to the shared folder.
     """
-    days = daily(view)
+    days = written(daily(view), "days")
     seen = days.groupBy("account_id").agg(F.count("*").alias("n_days_observed"), F.sum("n_txn").alias("_txns"))
     if risk is not None:
         seen = seen.join(risk.select("account_id", F.col("is_mule").alias("_risk")), "account_id", "left")
@@ -110,7 +140,8 @@ def detect(view: DataFrame, risk: DataFrame | None = None, min_risk: float = 0.0
         seen = seen.withColumn("_risk", F.lit(None).cast("double"))
     able = (F.col("_txns") >= MIN_TXNS) & (F.coalesce("_risk", F.lit(1.0)) >= min_risk)
     scores = suspicion(days.join(seen.filter(able).select("account_id"), "account_id", "left_semi"))
-    cut = otsu(scores)
+    scores = written(scores.select("account_id", "day", "score"), "scores")
+    cut = written(otsu(scores), "cuts")
     w = windows(scores, cut).join(cut, "account_id")
     out = seen.join(w, "account_id", "left")
     return out.select("account_id", F.col("start").alias("suspicious_start"), F.col("end").alias("suspicious_end"), F.col("strength").alias("window_strength"), F.when(F.col("start").isNotNull(), F.round("separation", 6)).alias("window_confidence"), "n_days_observed")

@@ -283,7 +283,7 @@ def temporal_daily(spark, d):
 
 @query(TE + f"SELECT {cols(double='z_n', plain='account_id', date='day')} FROM zn")
 def temporal_robust_z(spark, d):
-    return rounded(T.robust_z(_days(spark, d), "n_txn", "z_n").select("account_id", "day", "z_n"))
+    return rounded(T.robust_z(_days(spark, d), z_n="n_txn").select("account_id", "day", "z_n"))
 
 
 @query(TE + f"SELECT {cols(double='score', plain='account_id', date='day')} FROM susp")
@@ -298,7 +298,7 @@ def temporal_otsu(spark, d):
 
 @query(TE + f"SELECT {cols(double='strength', long='days', plain='account_id')}, strftime(start_, '%Y-%m-%d') AS \"start\", strftime(end_, '%Y-%m-%d') AS \"end\" FROM win")
 def temporal_window(spark, d):
-    s = T.suspicion(_days(spark, d))
+    s = written(T.suspicion(_days(spark, d)).select("account_id", "day", "score"), "scores")  # read twice
     return rounded(T.windows(s, T.otsu(s)))
 
 
