@@ -282,10 +282,10 @@ def _groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     # buckets of more than one class, each with its pivot
     cells = reps.select("node", F.explode("bands").alias("key"))
-    buckets = materialise(cells.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
+    buckets = cells.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     cells = materialise(cells.join(buckets, "key"), "cells")
     central = cells.groupBy("node").agg(F.sum("members").alias("weight"))
-    pivots = materialise(cells.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("p")), "pivots")
+    pivots = cells.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("p"))
     member = materialise(cells.join(pivots, "key").filter("p <> node").select("p", "node").distinct(), "clusters")
 
     # full sets of the classes that have a candidate, one a class
@@ -310,10 +310,10 @@ def _groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sized = sized.withColumn("blocks", _block_count("size", "total", STAR_ROWS))
     target = sized.select("p", F.lit(0).alias("ub"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mb"), "node", F.col("node").alias("comp"), F.lit(False).alias("q"), F.lit(True).alias("t"))
     query = sized.select("p", "blocks").distinct().select("p", F.lit(0).alias("ub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mb"), F.col("p").alias("node"), F.col("p").alias("comp"), F.lit(True).alias("q"), F.lit(False).alias("t"))
-    star = materialise(_confirm(target.unionByName(query), sets, percent), "links")
+    star = _confirm(target.unionByName(query), sets, percent)
 
     # the rest: members outside their pivot's component against their whole cluster
-    found = materialise(components(star), "components")
+    found = components(star)
     whole = member.unionByName(member.select("p", F.col("p").alias("node")).distinct())
     whole = whole.join(found.select("node", F.col("root").alias("comp")), "node", "left")
     whole = salted_join(whole, found.select(F.col("node").alias("p"), F.col("root").alias("pcomp")), "p", F.col("node"), "left")
@@ -334,10 +334,10 @@ def _groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     more = materialise(_confirm(rest, sets, percent), "links")
     if more.limit(1).count():
         tree = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        found = materialise(components(tree.unionByName(more)), "components")
+        found = components(tree.unionByName(more))
 
     low = found.join(own.select("node", "low"), "node")
-    low = materialise(with_group(low, ["root"], F.col("node"), {"best": (F.min("low"), "min")}).select("node", "best"), "lowest")
+    low = with_group(low, ["root"], F.col("node"), {"best": (F.min("low"), "min")}).select("node", "best")
     linked = salted_join(same, low, "node", F.col("rid"), "left").select("doc_id", "h", "n", F.coalesce("best", "low").alias("best"))
     return linked.unionByName(sig.filter("n = 0").select("doc_id", "h", "n", first.alias("best")))
 
