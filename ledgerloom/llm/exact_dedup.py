@@ -26,27 +26,36 @@ BLOCK, HOT, FEW = 8192, 4096, 256
 
 
 def fold(text: Column) -> Column:
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
+    """The text with A-Z lower-cased. Where all characters are ASCII, lower() is the same and much faster."""
+    upper, text = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def _hot(rows: DataFrame, keys: list[str]) -> DataFrame | None:
-    """The keys of more than max(FEW, one in HOT) of all rows, at most HOT of them, each with a negative name."""
-    counts = materialise(rows.groupBy(F.xxhash64(*keys).alias("_h")).agg(F.count("*").alias("_n")), "key-counts")
+def _blocks(text: Column) -> Column:
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+
+def _hot(rows: DataFrame, keys: list[str], rough: Column, exact: Column | None = None) -> DataFrame | None:
+    """The keys of more than max(FEW, one in HOT) of all rows, at most HOT of them, each with a negative name.
+
+    rough: a hash that equal keys share; exact: the key to name where rows hold it in another form than `keys` (one key only).
+    """
+    counts = materialise(rows.groupBy(rough.alias("_h")).agg(F.count("*").alias("_n")), "key-counts")
     least = max(FEW, (counts.agg(F.sum("_n")).first()[0] or 0) // HOT)
     often = counts.filter(F.col("_n") > least).select("_h")
     if not often.limit(1).count():
         return None
-    some = rows.withColumn("_h", F.xxhash64(*keys)).join(F.broadcast(often), "_h", "left_semi")
+    some = rows.withColumn("_h", rough).join(F.broadcast(often), "_h", "left_semi")
+    if exact is not None:
+        some = some.select(exact.alias(keys[0]))
     many = some.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > least)
-    return materialise(many.select(*keys, F.lit(True).alias("_is_hot"), (-1 - F.row_number().over(Window.orderBy(*keys))).cast("long").alias("_hot")), "hot-keys")
+    return materialise(many.select(*keys, (-1 - F.row_number().over(Window.orderBy(*keys))).cast("long").alias("_hot")), "hot-keys")
 
 
-def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _named(rows: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
     """rows: rid, pos, of (parts of the row), carry (a struct at pos 0) and keys -> rid, pos, of, carry, name of the keys."""
-    hot = _hot(rows, keys)
     if hot is None:
-        rows, is_hot, ahead, group = rows, F.lit(False), F.lit(None).cast("long"), keys
+        is_hot, ahead, group = F.lit(False), F.lit(None).cast("long"), keys
     else:
         rows = rows.join(F.broadcast(hot), keys, "left")
         is_hot, ahead = F.col("_hot").isNotNull(), F.col("_hot")
@@ -63,16 +72,17 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def identities(docs: DataFrame) -> DataFrame:
     """Per row: rid (unique), doc_id, text_sha256, blocks and name; texts are equal where (blocks, name) is."""
+    # blocks are counted by a hash that is the same for texts equal after folding, but cheaper to get
+    plain = docs.select(F.explode(_blocks(F.coalesce("text", F.lit("")))).alias("raw"))
+    hot = _hot(plain, ["block"], F.xxhash64(F.lower("raw")), fold(F.col("raw")))
     folded = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("text")).alias("t"))
-    folded = folded.withColumn("sha", F.sha2("t", 256))
-    blocks = F.when(F.col("t") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
-    cut = folded.select("rid", F.struct("doc_id", "sha").alias("_carry"), blocks.alias("_blocks"))
+    cut = folded.select("rid", F.struct("doc_id", F.sha2("t", 256).alias("sha")).alias("_carry"), _blocks(F.col("t")).alias("_blocks"))
     cut = cut.select("rid", "_carry", F.size("_blocks").alias("of"), F.posexplode("_blocks").alias("pos", "block"))
 
     def only_first(x: Column) -> Column:
         return F.when(F.col("pos") == 0, x).alias("carry")
 
-    level = materialise(_named(cut.select("rid", "pos", "of", only_first(F.struct("_carry.*", F.col("of").alias("blocks"))), "block"), ["block"]), "block-names")
+    level = materialise(_named(cut.select("rid", "pos", "of", only_first(F.struct("_carry.*", F.col("of").alias("blocks"))), "block"), ["block"], hot), "block-names")
     done = [level.filter("of = 1")]
     longest = level.agg(F.max("of")).first()[0] or 1
     while longest > 1:
@@ -82,7 +92,7 @@ def identities(docs: DataFrame) -> DataFrame:
         each = rows.select("rid", "_carry", F.size(pairs).alias("of"), F.posexplode(pairs).alias("pos", "pair"))
         # a last name without a neighbour is paired with a value that is no name
         each = each.select("rid", "pos", "of", only_first(F.col("_carry")), "pair.a", F.coalesce("pair.b", F.lit(-(2**62))).alias("b"))
-        level = materialise(_named(each, ["a", "b"]), "pair-names")
+        level = materialise(_named(each, ["a", "b"], _hot(each, ["a", "b"], F.xxhash64("a", "b"))), "pair-names")
         done.append(level.filter("of = 1"))
         longest = (longest + 1) // 2
     out = done[0]
