@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.llm.common import materialise, new_path, slices
-from ledgerloom.llm.token_cache import WORDS, CachedTokenizer
+from ledgerloom.llm.token_cache import CachedTokenizer
 from ledgerloom.shipping import ship
 
 HEADER = struct.Struct("<4sBBHIIQQQQ")
@@ -116,7 +116,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _tokenizers:
-            _tokenizers[tokenizer_path] = CachedTokenizer(tokenizer_path, WORDS, limit=800_000)
+            _tokenizers[tokenizer_path] = CachedTokenizer(tokenizer_path, words=True)
         t = _tokenizers[tokenizer_path]
         part, shard, before, held = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids, ids = [], []
@@ -128,7 +128,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shar
         for b in slices(batches, "text"):
             for i, x in zip(b["doc_id"].to_pylist(), t.encode([x or "" for x in b["text"].to_pylist()]), strict=True):
                 doc_ids.append(i)
-                ids.append(np.append(np.frombuffer(x, t.kind), t.kind.type(end_id)))
+                ids.append(np.append(x, t.kind.type(end_id)))
                 held += len(ids[-1])
                 if held >= shard_tokens:
                     yield flush()
