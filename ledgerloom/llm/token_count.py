@@ -12,58 +12,91 @@ repeated rows give repeated rows.
 
 import pickle
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.common import slices
-from ledgerloom.llm.token_cache import BYTE_LEVEL, CachedTokenizer
+from ledgerloom.llm.common import flat, slices
+from ledgerloom.llm.token_cache import CachedTokenizer, PartTable, byte_level_parts, identities
 from ledgerloom.shipping import ship
 
 #: Entries of the broadcast table, and counters that a task's summary may hold while it runs.
 TABLE, COUNTERS = 32_768, 200_000
 
 
-def prune(counts: Counter, size: int) -> Counter:
+def prune(counts: dict[bytes, int], size: int) -> dict[bytes, int]:
     """The `size` largest counters, less the largest that goes (Misra-Gries): bounded, and mergeable."""
     if len(counts) <= size:
         return counts
-    kept = counts.most_common(size + 1)
+    kept = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: size + 1]
     floor = kept[-1][1]
-    return Counter({k: v - floor for k, v in kept[:-1] if v > floor})
+    return {k: v - floor for k, v in kept[:-1] if v > floor}
 
 
 def merge(a: bytes, b: bytes, size: int = TABLE) -> bytes:
     if not a or not b:
         return a or b
-    both = Counter(pickle.loads(a))
-    both.update(pickle.loads(b))
-    return pickle.dumps(dict(prune(both, size)))
-
-
-def frequent(docs: DataFrame, text_column: str = "text", size: int = TABLE, counters: int = COUNTERS) -> dict[str, int]:
+    both: dict[bytes, int] = pickle.loads(a)
+    for k, v in pickle.loads(b).items():
+        both[k] = both.get(k, 0) + v
+    return pickle.dumps(prune(both, size))
+
+
+class Summary:
+    """Heavy hitters among the parts of many texts, with at most 2 * counters entries."""
+
+    def __init__(self, counters: int):
+        self.counters, self.table, self.seen, self.parts = counters, PartTable(None), np.zeros(0, np.int64), []
+
+    def add(self, column: pa.Array) -> None:
+        data, offsets = flat(column)
+        starts, ends, _ = byte_level_parts(data, offsets)
+        key, tag = identities(data, starts, ends)
+        both, first, times = np.unique(key ^ (tag >> np.uint64(1)), return_index=True, return_counts=True)
+        entry = self.table.find(key[first], tag[first])
+        new = np.flatnonzero(entry < 0)
+        raw = data.tobytes()
+        self.parts += [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+        entry[new] = np.arange(len(self.seen), len(self.seen) + len(new))
+        self.table.add(key[first[new]], tag[first[new]], np.zeros(len(new), np.int64))
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.seen[entry] += times
+        if len(self.seen) > 2 * self.counters:
+            order = np.argsort(-self.seen, kind="stable")
+            floor = self.seen[order[self.counters]]
+            kept = np.sort(order[: self.counters][self.seen[order[: self.counters]] > floor])
+            self.table, self.seen, self.parts = self.table.only(kept), self.seen[kept] - floor, [self.parts[k] for k in kept.tolist()]
+
+    def counts(self) -> dict[bytes, int]:
+        return dict(zip(self.parts, self.seen.tolist(), strict=True))
+
+
+def frequent(docs: DataFrame, text_column: str = "text", size: int = TABLE, counters: int = COUNTERS) -> dict[bytes, int]:
     """Heavy-hitter pre-tokens of the whole column, at most `size`."""
 
     ship(docs.sparkSession)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        found = Summary(counters)
         for b in slices(batches, "text"):
-            for t in b["text"].to_pylist():
-                counts.update(BYTE_LEVEL.findall(t or ""))
-            if len(counts) > 2 * counters:
-                counts = prune(counts, counters)
-        blob = pickle.dumps(dict(prune(counts, size)))
-        yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
+            found.add(b["text"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(prune(found.counts(), size))], pa.binary())], ["blob"])
 
     blobs = docs.select(docs[text_column].alias("text")).mapInArrow(summarise, "blob binary").rdd.map(lambda r: bytes(r.blob))
     merged = blobs.treeAggregate(b"", lambda a, b: merge(a, b, size), lambda a, b: merge(a, b, size), depth=3)
     return pickle.loads(merged) if merged else {}
 
 
+def length_table(parts: list[str], path: str) -> PartTable:
+    """The compact table: the number of tokens of each part by its hashes."""
+    own = CachedTokenizer(path, words=False, lengths=True)
+    own.count([p for p in parts if not own.whole(p)])
+    return own.table
+
+
 _tokenizers: dict = {}
 
 
@@ -71,17 +104,15 @@ def _worker(path: str, name: str, table) -> CachedTokenizer:
     """One a worker process; only the newest stays in memory."""
     if (path, name) not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[path, name] = CachedTokenizer(path, BYTE_LEVEL, lengths=True, hot=table.value)
+        _tokenizers[path, name] = CachedTokenizer(path, words=False, lengths=True, hot=table.value)
     return _tokenizers[path, name]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     spark = docs.sparkSession
-    own = CachedTokenizer(path, BYTE_LEVEL, lengths=True, limit=2 * TABLE)
-    seen = set(frequent(docs, text_column))
-    own.learn({p for p in seen if not own.whole(p)})
-    table = spark.sparkContext.broadcast(own.cache)
+    seen = sorted(frequent(docs, text_column))
+    table = spark.sparkContext.broadcast(length_table([p.decode("utf-8", "surrogatepass") for p in seen], path))
     name = uuid.uuid4().hex
 
     ship(docs.sparkSession)
@@ -94,4 +125,3 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_column: str
             yield pa.RecordBatch.from_arrays([b["doc_id"], size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text_column].alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
-
