@@ -532,6 +532,47 @@ def test_token_counts(docs, data, none, clashing):
     assert token_count.count_tokens(none, path).count() == 0
 
 
+def test_byte_level_parts_equal_the_pattern():
+    import random
+
+    from ledgerloom.llm.token_cache import byte_level_parts
+
+    pattern = re.compile("[ ]?[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+")
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(" \n\tab\u00e9", k=rng.randint(0, 9))) for _ in range(3000)]
+    raw = [t.encode() for t in texts]
+    starts, ends, first = byte_level_parts(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    joined = b"".join(raw)
+    for k, t in enumerate(texts):
+        assert [joined[starts[i] : ends[i]].decode() for i in range(first[k], first[k + 1])] == pattern.findall(t)
+
+
+def test_part_table_grows_and_shrinks():
+    from ledgerloom.llm.token_cache import PartTable
+
+    rng = np.random.default_rng(3)
+    table, key, tag = PartTable(np.dtype("<u2"), bits=2), rng.integers(0, 50, 4000).astype(np.uint64) << np.uint64(58), np.arange(4000).astype(np.uint64)
+    count = rng.integers(0, 4, 4000)
+    ids = rng.integers(0, 60_000, int(count.sum()))
+    ends = np.cumsum(count)
+    for i in range(0, 4000, 500):
+        a, b = (ends[i - 1] if i else 0), ends[i + 499]
+        table.add(key[i : i + 500], tag[i : i + 500], count[i : i + 500], ids[a:b])
+    assert np.array_equal(table.find(key, tag), np.arange(4000)) and (table.find(key, tag + np.uint64(9000)) == -1).all()
+    assert np.array_equal(table.gather(np.arange(4000)), ids)
+    few = table.only(np.arange(1000, 1010))
+    assert np.array_equal(few.gather(few.find(key[1000:1010], tag[1000:1010])), ids[ends[999] : ends[1009]]) and few.find(key[:1], tag[:1])[0] == -1
+
+
+def test_heavy_hitters_are_counted(docs, data):
+    """With counters enough the counts are exact; with few, each is short by no more than what was taken away."""
+    pattern = re.compile("[ ]?[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+")
+    want = Counter(x.encode() for _, t, *_ in data for x in pattern.findall(t or ""))
+    assert token_count.frequent(docs, size=10**6) == want
+    few = token_count.frequent(docs, size=50, counters=60)
+    assert len(few) <= 50 and all(v <= want[k] for k, v in few.items()) and b" the" in few
+
+
 def test_heavy_hitters_are_bounded(docs):
     found = token_count.frequent(docs, size=5, counters=20)
     assert 0 < len(found) <= 5
@@ -542,16 +583,19 @@ def test_cached_tokenizers_equal_the_library():
 
     from tokenizers import Tokenizer
 
-    from ledgerloom.llm.token_cache import BYTE_LEVEL, WORDS, CachedTokenizer
+    from ledgerloom.llm.token_cache import CachedTokenizer
 
     rng = random.Random(4)
     signs = [*" \t\n\x0b\x0c\r  aAbBZ1'sé.,!ß̈\x1c\x85\xa0 　İΣςÀ", "<|endoftext|>", "<|ENDOFTEXT|>", "'re", "中文", "🙂", "the", "ing"]
     texts = ["".join(rng.choices(signs if k % 2 else signs[:22], k=rng.randint(0, 30))) for k in range(4000)]
-    for name, pattern in (("byte_bpe_50k.json", BYTE_LEVEL), ("word_bpe_49k.json", WORDS)):
-        c, t = CachedTokenizer(P.path(name), pattern, limit=300), Tokenizer.from_file(P.path(name))
+    for name, by_word in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        hot = None if by_word else token_count.length_table([" the", "'re", "\n", "ing", "\u0130"], P.path(name))
+        c, t = CachedTokenizer(P.path(name), by_word, limit=300), Tokenizer.from_file(P.path(name))
+        lengths = CachedTokenizer(P.path(name), by_word, lengths=True, hot=hot, limit=200)
         got = [x for i in range(0, len(texts), 100) for x in c.encode(texts[i : i + 100])]
-        for a, b in zip(got, t.encode_batch(texts, add_special_tokens=False), strict=True):
-            assert np.frombuffer(a, c.kind).tolist() == b.ids
+        number = [x for i in range(0, len(texts), 77) for x in lengths.count(texts[i : i + 77]).tolist()]
+        for a, k, b in zip(got, number, t.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert a.tolist() == b.ids and k == len(b.ids)
 
 
 # ---------------------------------------------------------------- 9
