@@ -5,6 +5,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def finite(x: Column) -> Column:
+    """x as a double, null where it is no finite number (NaN is larger than infinity here)."""
+    x = x.cast("double")
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
 def div(n: Column, d: Column) -> Column:
     """n / d, null where d is 0 or null (ANSI mode raises on /0)."""
     return n.cast("double") / F.nullif(d.cast("double"), F.lit(0.0))
@@ -28,13 +34,56 @@ def either_null(a: Column, b: Column, then: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(then)
 
 
+RANGES, TIE_RANGES = 1024, 64
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    """A double in the order of the column: of a string its first six bytes."""
+    if dict(df.dtypes)[column] != "string":
+        return F.col(column).cast("double")
+    return F.conv(F.rpad(F.substring(F.hex(column), 1, 12), 12, "0"), 16, 10).cast("double")
+
+
+def _cuts(df: DataFrame, column: str, ranges: int) -> list[float]:
+    """At most `ranges` - 1 approximate quantiles, read at once."""
+    found = df.agg(F.percentile_approx(_number(df, column), [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
+    return sorted(set(found or []))
+
+
+def _place(df: DataFrame, column: str, cuts: list[float], out: str) -> DataFrame:
+    from pyspark.ml.feature import Bucketizer
+
+    inf = float("inf")
+    d = df.withColumn("_value", _number(df, column))
+    return Bucketizer(splits=[-inf, *[c for c in cuts if abs(c) < inf], inf], inputCol="_value", outputCol=out, handleInvalid="keep").transform(d).drop("_value")
+
+
+def ranged(df: DataFrame, column: str, ties: str | None = None) -> DataFrame:
+    """df with _b and _c, the number of a range of `column` in its order.
+
+    Ranges are cut at approximate quantiles, so they hold about equally many rows however the values lie. A value that is
+    a cut has a range to itself; there _c deals the rows further by quantiles of `ties`, in that order. So no range
+    grows with a value that most rows share. Elsewhere _c is 0.
+    """
+    cuts = _cuts(df, column, RANGES)
+    if not cuts:
+        return df.withColumn("_b", F.lit(0)).withColumn("_c", F.lit(0))
+    d = _place(df, column, cuts, "_b")
+    alone = F.coalesce(F.col(column).cast("double") == F.get(F.lit(cuts), F.col("_b").cast("int") - 1), F.lit(False))
+    if ties:
+        d = _place(d, ties, _cuts(df, ties, TIE_RANGES), "_c").withColumn("_c", F.when(alone, F.col("_c").cast("int")).otherwise(F.lit(0)))
+    else:
+        d = d.withColumn("_c", F.lit(0))
+    return d.withColumn("_b", (2 * F.col("_b")).cast("int") + F.when(alone, 0).otherwise(1))
+
+
 def rank_shares(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """key, column, share: rank over count of each value within its column, ties averaged.
+    """key, column, share: rank over count of each value within its column, ties averaged; nulls have none and do not count.
 
     Values are counted first, then numbered within ranges cut at approximate quantiles, so neither a whole column
     nor a value that most rows share is ever sorted in one task.
     """
-    cells = rows.select(key, *names).unpivot([key], names, "column", "x")
+    cells = rows.select(key, *names).unpivot([key], names, "column", "x").filter("x is not null")
     cuts = cells.groupBy("column").agg(F.percentile_approx("x", F.array(*[F.lit(i / 256) for i in range(1, 256)]), 1000).alias("q"))
     values = cells.groupBy("column", "x").agg(F.count("*").alias("n")).join(F.broadcast(cuts), "column")
     values = values.select("column", "x", "n", F.size(F.filter("q", lambda e: e < F.col("x"))).alias("range"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numeric import clip, div0, near_any, rank_shares
+from ledgerloom.functions.numeric import clip, div0, finite, near_any, rank_shares
 
 REQUIRED = ("src", "dst", "amount", "ts")
 #: Fixed values of the feature definitions.
@@ -16,7 +16,7 @@ def prepare(ledger: DataFrame) -> DataFrame:
     """Magnitudes and flags; rows without a timestamp go; a missing column raises."""
     if missing := [c for c in REQUIRED if c not in ledger.columns]:
         raise KeyError(f"ledger lacks {', '.join(missing)}")
-    t = ledger.select("src", "dst", F.abs(F.nanvl(F.col("amount").cast("double"), F.lit(None).cast("double"))).alias("amount"), F.col("ts").cast("timestamp").alias("ts")).filter("ts is not null")
+    t = ledger.select("src", "dst", F.abs(finite(F.col("amount"))).alias("amount"), F.col("ts").cast("timestamp").alias("ts")).filter("ts is not null")
     hour = F.hour("ts")
     return t.withColumns({
         "day": F.to_date("ts"), "hour": hour, "is_round": F.col("amount").isin(*[float(x) for x in ROUND_AMOUNTS]),
@@ -78,7 +78,7 @@ def features(ledger: DataFrame) -> DataFrame:
         "burstiness": clip(div0(c("active_days"), c("span_days"), 1.0), 0.0, 1.0),
         "txn_per_active_day": div0(c("txn_count"), c("active_days")),
     })
-    return f.select("account_id", *[F.coalesce(F.nanvl(c(x), F.lit(0.0)), F.lit(0.0)).alias(x) for x in FEATURES])
+    return f.select("account_id", *[F.coalesce(finite(c(x)), F.lit(0.0)).alias(x) for x in FEATURES])
 
 
 DIRECTIONAL = ("passthrough", "burstiness", "threshold_share", "round_share", "night_share", "txn_per_counterparty", "motif_score", "ring_score")

@@ -1,36 +1,32 @@
 """Ranking metrics on scored rows (id, y, p with p in 0..1), exact, without a global sort in one task.
 
-Running counts are built from `BUCKETS` score ranges: counts by range are few rows, and rows are numbered within
-their range only.
+Running counts are built from ranges of scores that hold about equally many rows (`numeric.ranged`): counts by range are few
+rows, and rows are numbered within their range only.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.numeric import div0
+from ledgerloom.functions.numeric import div0, ranged
 
-BUCKETS = 1024
 REVIEWS_PER_DAY = 40
 
 
-def _bucket(p: str = "p") -> Column:
-    return F.least(F.floor(F.greatest(F.col(p), F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-
-
 def ranked(scored: DataFrame) -> DataFrame:
-    """scored with rank: 1 for the largest p, ties by id."""
-    s = scored.withColumn("_b", _bucket())
-    n = s.groupBy("_b").agg(F.count("*").alias("_n"))
-    above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    n = n.select("_b", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
-    inside = Window.partitionBy("_b").orderBy(F.desc("p"), "id")
-    return s.join(n, "_b").withColumn("rank", F.col("_above") + F.row_number().over(inside)).drop("_b", "_above")
+    """scored with rank: 1 for the largest p, ties by id. Rows of a p that most share are dealt by id, so no task holds them all."""
+    s = ranged(scored.withColumn("_neg", -F.col("p")), "_neg", "id")
+    n = s.groupBy("_b", "_c").agg(F.count("*").alias("_n"))
+    above = Window.orderBy("_b", "_c").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select("_b", "_c", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    inside = Window.partitionBy("_b", "_c").orderBy("_neg", "id")
+    return s.join(n, ["_b", "_c"]).withColumn("rank", F.col("_above") + F.row_number().over(inside)).drop("_b", "_c", "_above", "_neg")
 
 
 def curve(scored: DataFrame) -> DataFrame:
     """Per distinct p: n, pos, and cum_n, cum_pos of the rows at or above it, with the totals all_n and all_pos."""
-    d = scored.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("pos")).withColumn("_b", _bucket())
+    d = scored.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("pos"))
+    d = ranged(d, "p").drop("_c")
     by = d.groupBy("_b").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p"))
     above, every = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     by = by.select("_b", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_an"), F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_ap"), F.sum("_n").over(every).alias("all_n"), F.sum("_p").over(every).alias("all_pos"))
@@ -125,6 +121,17 @@ def banded(scored: DataFrame, low: float, medium: float, graph: str | None = Non
     return scored.withColumn("risk_score", s).withColumn("band", F.when(F.col("risk_score") < low, "LOW").when(F.col("risk_score") < medium, "MEDIUM").otherwise("HIGH"))
 
 
+def band_edges(by_fold: DataFrame, fallback: tuple[float, float] = (400.0, 750.0)) -> DataFrame:
+    """low_max, medium_max, derived, degenerate: the mean thresholds of the folds (threshold_high, threshold_medium) times 1000, in order.
+
+    Without folds the fallback, not derived. Thresholds that meet leave no middle band; that is said, not mended.
+    """
+    m = by_fold.agg(F.avg("threshold_high").alias("h"), F.avg("threshold_medium").alias("m"))
+    lo, hi = F.least("h", "m") * 1000, F.greatest("h", "m") * 1000
+    known = F.col("h").isNotNull() & F.col("m").isNotNull()
+    return m.select(F.when(known, F.round(lo, 2)).otherwise(F.lit(fallback[0])).alias("low_max"), F.when(known, F.round(hi, 2)).otherwise(F.lit(fallback[1])).alias("medium_max"), known.alias("derived"), F.coalesce(known & (F.abs(hi - lo) < 1e-6), F.lit(False)).alias("degenerate"))
+
+
 def band_load(bands: DataFrame) -> DataFrame:
     every = bands.agg(F.count("*").alias("_all"))
     g = bands.groupBy("band").agg(F.count("*").alias("accounts"), F.sum("y").cast("long").alias("mules")).crossJoin(F.broadcast(every))
