@@ -4,15 +4,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.numeric import div0
-from ledgerloom.operators.metrics import BUCKETS
+from ledgerloom.functions.numeric import div0, finite, ranged
 
 #: Fixed values of the monitoring policy.
 PSI_MATERIAL, PSI_SEVERE, KS_ALARM, SCORE_PSI, PRECISION_TOL, BREACHES, MIN_REVIEWED = 0.25, 0.50, 0.15, 0.10, 0.10, 2, 30
+KS_RANGES = 256
 
 
 def _finite(df: DataFrame, features: list[str], period: str) -> DataFrame:
-    ok = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in features])
+    ok = df.select(*[finite(F.col(c)).alias(c) for c in features])
     return ok.unpivot([], features, "feature", "x").filter("x is not null").withColumn("period", F.lit(period))
 
 
@@ -38,10 +38,17 @@ def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int
 def ks(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
     """feature, ks: the largest distance of the two distribution functions; 0 with fewer than 2 values on a side."""
     x = _finite(reference, features, "r").unionByName(_finite(current, features, "c"))
-    d = x.groupBy("feature", "x").agg(*[F.count(F.when(F.col("period") == p, 1)).alias(p) for p in ("r", "c")])
-    up, every = Window.partitionBy("feature").orderBy("x"), Window.partitionBy("feature")
-    gap = F.abs(F.sum("r").over(up) / F.nullif(F.sum("r").over(every), F.lit(0)) - F.sum("c").over(up) / F.nullif(F.sum("c").over(every), F.lit(0)))
-    enough = (F.sum("r").over(every) >= 2) & (F.sum("c").over(every) >= 2)
+    # ranges of each feature's values, cut at approximate quantiles: no task sorts all values of a feature
+    cuts = x.groupBy("feature").agg(F.percentile_approx("x", F.array(*[F.lit(i / KS_RANGES) for i in range(1, KS_RANGES)]), 5_000).alias("q"))
+    d = x.groupBy("feature", "x").agg(*[F.count(F.when(F.col("period") == p, 1)).alias(p) for p in ("r", "c")]).join(F.broadcast(cuts), "feature")
+    d = d.select("feature", "x", "r", "c", F.size(F.filter("q", lambda e: e < F.col("x"))).alias("range"))
+    before, every = Window.partitionBy("feature").orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("feature")
+    by = d.groupBy("feature", "range").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
+    by = by.select("feature", "range", *[F.coalesce(F.sum(f"n{p}").over(before), F.lit(0)).alias(f"before_{p}") for p in "rc"], *[F.sum(f"n{p}").over(every).alias(f"all_{p}") for p in "rc"])
+    up = Window.partitionBy("feature", "range").orderBy("x")
+    share = lambda p: (F.col(f"before_{p}") + F.sum(p).over(up)) / F.nullif(F.col(f"all_{p}"), F.lit(0))
+    d = d.join(by, ["feature", "range"])
+    gap, enough = F.abs(share("r") - share("c")), (F.col("all_r") >= 2) & (F.col("all_c") >= 2)
     out = d.select("feature", F.when(enough, gap).alias("gap")).groupBy("feature").agg(F.max("gap").alias("ks"))
     names = reference.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     return names.join(out, "feature", "left").select("feature", F.coalesce("ks", F.lit(0.0)).alias("ks"))
@@ -90,6 +97,66 @@ def policy(batches: DataFrame, target: float) -> DataFrame:
     return b.select("batch", action.alias("action"), on("severe").alias("signoff"), *[F.col(f"streak_{n}").cast("long").alias(f"streak_{n}") for n in raw])
 
 
+def extract_drift(rows: DataFrame, extract: str, columns: list[str], least: tuple[int, int] = (30, 10), alpha: float = 0.01) -> DataFrame:
+    """column, ks, p_value, shifted: each column's values in the most frequent extract against those in all others.
+
+    Columns with fewer values than `least` on a side are not tested. The p-value is the asymptotic one of Kolmogorov's distribution.
+    """
+    sizes = rows.filter(F.col(extract).isNotNull()).groupBy(F.col(extract).cast("string").alias("_e")).agg(F.count("*").alias("_n"))
+    main = sizes.agg(F.max(F.struct("_n", "_e")).alias("m")).first().m
+    if main is None:
+        return rows.sparkSession.createDataFrame([], "column string, ks double, p_value double, shifted boolean")
+    same = F.coalesce(F.col(extract).cast("string") == main["_e"], F.lit(False))
+    a, b = rows.filter(same), rows.filter(~same)
+    counts = _finite(a, columns, "r").unionByName(_finite(b, columns, "c")).groupBy("feature").agg(*[F.count(F.when(F.col("period") == p, 1)).alias(p) for p in ("r", "c")])
+    d = ks(a, b, columns).join(counts.filter((F.col("r") >= least[0]) & (F.col("c") >= least[1])), "feature")
+    x = F.col("ks") * F.sqrt(F.col("r") * F.col("c") / (F.col("r") + F.col("c")))
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x))
+    p_value = F.when(x < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(2.0 * terms, F.lit(0.0)), F.lit(1.0)))
+    d = d.withColumn("_p", p_value)
+    return d.select(F.col("feature").alias("column"), F.round("ks", 4).alias("ks"), F.round("_p", 6).alias("p_value"), (F.col("_p") < alpha).alias("shifted"))
+
+
+def extract_drift_summary(drift: DataFrame) -> DataFrame:
+    """columns_tested, columns_shifted, share_shifted."""
+    n = F.count(F.when(F.col("shifted"), 1))
+    return drift.agg(F.count("*").alias("columns_tested"), n.alias("columns_shifted"), F.round(n / F.greatest(F.count("*"), F.lit(1)), 4).alias("share_shifted"))
+
+
+#: Fixed edges of the words for a weighted PSI.
+PSI_WORDS = ((PSI_SEVERE, "severe"), (PSI_MATERIAL, "significant"), (0.10, "moderate"), (0.0, "stable"))
+
+
+def monitor_batch(reference: DataFrame, current: DataFrame, importance: dict[str, float], history: DataFrame | None = None, decisions: DataFrame | None = None, target: float = 0.9, score: str = "p") -> dict:
+    """What a batch measures against the training population, and what the policy says to do.
+
+    Compared are the features of `importance` that both tables have, and the scores where both have them; a feature that the
+    batch lacks is listed, never imputed. With nothing to compare the action is CANNOT_ASSESS, which is no clean result. history: the
+    measurements of earlier batches (batch, weighted_psi, score_psi, precision, reviewed), so that a condition must hold twice in a row.
+    Returns signal, band, missing, drift (DataFrame), action, signoff, and state: history with this batch, to be written.
+    """
+    spark = reference.sparkSession
+    both = [f for f in importance if f in reference.columns and f in current.columns]
+    missing = [f for f in importance if f not in current.columns]
+    scores = score in reference.columns and score in current.columns and current.filter(F.col(score).isNotNull()).limit(2).count() == 2
+    drift = feature_drift(reference, current, {f: importance[f] for f in both}) if both else None
+    weighted = float(drift_summary(drift).first().weighted_psi or 0.0) if both else None
+    moved = float(psi(reference, current, [score]).first().psi) if scores else None
+    seen = realised_precision(decisions).first() if decisions is not None else None
+    now = (weighted, moved, float(seen.precision) if seen and seen.precision is not None else None, int(seen.reviewed) if seen else 0)
+    kind = "batch long, weighted_psi double, score_psi double, precision double, reviewed long"
+    last = history.agg(F.max("batch")).first()[0] if history is not None else None
+    number = 0 if last is None else last + 1
+    state = spark.createDataFrame([(number, *now)], kind)
+    if history is not None:
+        state = history.select("batch", "weighted_psi", "score_psi", "precision", "reviewed").unionByName(state)
+    if not both and not scores:
+        return {"action": "CANNOT_ASSESS", "signoff": True, "signal": None, "band": None, "missing": missing, "drift": None, "state": state}
+    got = policy(state, target).filter(F.col("batch") == number).first()
+    band = next(w for at, w in PSI_WORDS if (weighted or 0.0) >= at)
+    return {"action": got.action, "signoff": got.signoff, "signal": {"weighted_psi": weighted, "score_psi": moved, "precision": now[2], "reviewed": now[3]}, "band": band, "missing": missing, "drift": drift, "state": state}
+
+
 # ------------------------------------------------------------------ label noise
 def noise_thresholds(scored: DataFrame) -> DataFrame:
     """t1, t0: mean p of the positives, mean 1 - p of the negatives (1 without any)."""
@@ -131,18 +198,17 @@ def noise_estimate(scored: DataFrame) -> DataFrame:
 def fair_bands(rows: DataFrame, column: str, labels: tuple[str, ...] = ("Q1", "Q2", "Q3", "Q4")) -> DataFrame:
     """id, band: quartiles in rank order (ties by id); a value held by 15 % or more gets the first band of its own.
 
-    Ranks come from value ranges, so no single task sorts all rows.
+    Ranks come from ranges that hold about equally many rows, so no single task sorts all rows.
     """
     v = rows.select("id", F.col(column).cast("double").alias("v")).filter("v is not null")
     by = v.groupBy("v").agg(F.count("*").alias("n"))
     top = by.agg(F.max(F.struct(F.col("n"), (-F.col("v")).alias("m"))).alias("t"), F.sum("n").alias("all")).select((-F.col("t.m")).alias("mode"), (F.col("t.n") / F.col("all") >= 0.15).alias("dominant"))
     v = v.crossJoin(F.broadcast(top)).withColumn("own", F.col("dominant") & (F.col("v") == F.col("mode")))
     rest = v.filter(~F.col("own"))
-    spread = rest.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("m"))
-    r = rest.crossJoin(F.broadcast(spread)).withColumn("_b", F.least(F.floor(div0(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1)))
-    n = r.groupBy("_b").agg(F.count("*").alias("_n"))
-    n = n.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    r = r.join(n, "_b").withColumn("rank", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("v", "id")))
+    r = ranged(rest.crossJoin(F.broadcast(rest.agg(F.count("*").alias("m")))), "v", "id")
+    n = r.groupBy("_b", "_c").agg(F.count("*").alias("_n"))
+    n = n.select("_b", "_c", F.coalesce(F.sum("_n").over(Window.orderBy("_b", "_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    r = r.join(n, ["_b", "_c"]).withColumn("rank", F.col("_before") + F.row_number().over(Window.partitionBy("_b", "_c").orderBy("v", "id")))
     k = F.when(F.col("dominant"), F.lit(len(labels) - 1)).otherwise(F.lit(len(labels)))
     # the i-th quantile edge of ranks 1..m is 1 + (m - 1) * i / k; a rank on an edge belongs below it
     cut = F.greatest(F.ceil((F.col("rank") - 1) * k / F.nullif(F.col("m") - 1, F.lit(0)).cast("double")) - 1, F.lit(0)).cast("int")
@@ -160,8 +226,20 @@ def fair_slices(rows: DataFrame, group: str, flagged: Column) -> DataFrame:
     return g.withColumn("flagged_for_review", F.coalesce(F.col("burden_ratio") > 1.25, F.lit(False))).drop("hits")
 
 
+def proxy_signature(slices: DataFrame) -> DataFrame:
+    """One row of a slice report: the rates of the least and most burdened groups of 20 or more, and whether the most burdened one,
+    over the cap, is also flagged less accurately than groups are on average: the mark of a model that learned a proxy."""
+    sized = slices.filter("accounts >= 20")
+    s = sized.agg(F.min("selection_rate").alias("least_burdened_rate"), F.max("selection_rate").alias("most_burdened_rate"), F.avg("precision").alias("mean"), F.max(F.struct("selection_rate", F.struct("grp", "precision", "burden_ratio").alias("g"))).alias("m"))
+    over = slices.agg(F.coalesce(F.max(F.col("flagged_for_review")), F.lit(False)).alias("any_group_over_cap"))
+    heavy = F.col("m.g")
+    mark = F.coalesce((heavy["burden_ratio"] > 1.25) & (heavy["precision"] < F.col("mean")), F.lit(False))
+    spread = F.when(F.col("least_burdened_rate") > 0, F.round(F.col("most_burdened_rate") / F.nullif("least_burdened_rate", F.lit(0.0)), 2))
+    return s.crossJoin(F.broadcast(over)).select(F.round("least_burdened_rate", 4).alias("least_burdened_rate"), F.round("most_burdened_rate", 4).alias("most_burdened_rate"), spread.alias("selection_rate_spread"), heavy["grp"].alias("most_burdened_group"), "any_group_over_cap", F.round("mean", 4).alias("mean_precision"), mark.alias("proxy_signature_present"))
+
+
 # ------------------------------------------------------------------ rules
-#: Rules as conditions on matrix features; a rule whose inputs are absent is not evaluated.
+#: Rules as conditions on matrix features. A rule whose inputs are absent is not evaluated; unevaluated() names it.
 RULES: dict[str, tuple[tuple[str, ...], str]] = {
     "R01": (("mg_passthrough_7d",), "mg_passthrough_7d >= 0.90"),
     "R02": (("mg_turnover_over_balance_7d",), "mg_turnover_over_balance_7d >= 50"),
@@ -182,6 +260,11 @@ def evaluated(df: DataFrame) -> list[str]:
     return [r for r, (needs, _) in RULES.items() if all(n in df.columns for n in needs)]
 
 
+def unevaluated(df: DataFrame) -> list[dict]:
+    """rule, missing: the rules that the table lacks inputs for."""
+    return [{"rule": r, "missing": [n for n in needs if n not in df.columns]} for r, (needs, _) in RULES.items() if r not in evaluated(df)]
+
+
 def rule_hits(features: DataFrame) -> DataFrame:
     """features with rules_fired ("R01|R06") and n_rules_fired; a null comparison has not fired."""
     fired = F.filter(F.array(*[F.when(F.coalesce(F.expr(RULES[r][1]), F.lit(False)), r) for r in evaluated(features)]), lambda x: x.isNotNull())
