@@ -1,10 +1,13 @@
 """The transfer graph: collapsed edges, structural roles, hop-decay propagation, evidence per group, communities."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.numeric import div, div0
+from ledgerloom.sources.io import written
 
 #: Fixed values of the ring and propagation definitions.
 SIZES, MAX_CYCLE, MAX_CONDUCTANCE, MIN_DENSITY = (3, 25), 5, 0.60, 0.15
@@ -18,6 +21,14 @@ def collapse(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", amount.alias("amount")).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"), F.sum("amount").alias("amount"))
 
 
+def edges_of_columns(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """src, dst: row `key` (0..n-1) points to the rows that its `columns` name; other values, blanks and loops are no edges."""
+    n = rows.count()
+    cells = rows.select(F.col(key).cast("long").alias("src"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["src"], columns, "column", "x")
+    cells = cells.filter(F.col("x").isNotNull() & ~F.isnan("x")).withColumn("dst", F.col("x").cast("long"))
+    return cells.filter(F.col("dst").between(0, n - 1) & (F.col("dst") != F.col("src"))).select("src", "dst")
+
+
 def undirected(graph: DataFrame) -> DataFrame:
     return graph.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
 
@@ -35,14 +46,17 @@ def roles(graph: DataFrame) -> DataFrame:
 
 
 def propagate(graph: DataFrame, seeds: DataFrame, decay: dict[int, float] = DECAY) -> DataFrame:
-    """account, hop, score: breadth-first from the seeds over undirected edges, at most len(decay) hops."""
+    """account, hop, score: breadth-first from the seeds over undirected edges, at most len(decay) hops.
+
+    Links and frontiers are written once, so that no hop computes the ones before it anew.
+    """
     u = undirected(graph)
-    both = u.unionByName(u.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = written(u.unionByName(u.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links")
     seen = seeds.select("account").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in sorted(decay):
         reach = frontier.join(both, frontier["account"] == both["u"]).select(F.col("v").alias("account")).distinct().join(seen, "account", "left_anti")
-        frontier = reach.withColumn("hop", F.lit(hop))
+        frontier = written(reach.withColumn("hop", F.lit(hop)), "frontier")
         seen = seen.unionByName(frontier)
     score = F.lit(1.0)
     for hop, s in decay.items():
@@ -135,14 +149,79 @@ def ring_scores(graph: DataFrame, groups: DataFrame) -> DataFrame:
     return x.select("grp", "size", "density", "conductance", "cycles", F.round("passthrough", 4).alias("passthrough"), F.round("role_evidence", 4).alias("role_evidence"), F.round(score, 4).alias("score")).orderBy(F.desc("score"), "grp")
 
 
+@dataclass
+class RingReport:
+    """rings: as ring_scores; members: account, grp of the flagged rings; graph_possible False, with a reason, where there are no edges."""
+
+    graph_possible: bool
+    reason: str | None
+    rings: DataFrame | None = None
+    members: DataFrame | None = None
+    n_nodes: int = 0
+    n_edges: int = 0
+    n_communities_examined: int = 0
+    n_rings_flagged: int = 0
+    accounts_in_flagged_rings: int = 0
+    role_distribution: dict | None = None
+
+
+def detect_rings(edges: DataFrame, min_score: float = 0.0) -> RingReport:
+    """Candidate rings from structure alone: communities and their parts, different ones once, gated, scored, best first."""
+    graph = written(collapse(edges), "graph")
+    if not graph.limit(1).count():
+        return RingReport(False, "no edges supplied")
+    groups = written(distinct_groups(candidate_groups(graph)), "groups")
+    rings = written(ring_scores(graph, groups).filter(F.col("score") >= min_score), "rings")
+    flagged = rings.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("a")).first()
+    kinds = {r.role: r["count"] for r in roles(graph).groupBy("role").count().collect()}
+    return RingReport(
+        True, None, rings, written(groups.join(rings.select("grp"), "grp", "left_semi"), "ring-members"), sum(kinds.values()), graph.count(), groups.select("grp").distinct().count(), flagged.n, flagged.a, kinds
+    )
+
+
+def distinct_groups(groups: DataFrame) -> DataFrame:
+    """groups (account, grp) without groups that have the same members as one earlier in order; members are compared by number and two sums of hashes."""
+    sums = [F.sum(F.xxhash64("account", F.lit(k)).cast("decimal(38,0)")).alias(f"_h{k}") for k in (1, 2)]
+    keys = groups.groupBy("grp").agg(F.count("*").alias("_n"), *sums)
+    first = keys.groupBy("_n", "_h1", "_h2").agg(F.min("grp").alias("grp")).select("grp")
+    return groups.join(first, "grp", "left_semi")
+
+
+def ring_curve(rings: DataFrame, groups: DataFrame, truth: DataFrame, tops: tuple[int, ...] = (3, 5, 8, 10, 15, 20, 30, 50)) -> DataFrame:
+    """Per k of `tops` that the rings reach: what the members of the k best rings catch of truth (account)."""
+    # the best rings by a bounded sort, then numbered
+    top = rings.orderBy(F.desc("score"), "grp").limit(max(tops))
+    place = top.select("grp", F.row_number().over(Window.orderBy(F.desc("score"), "grp")).alias("place"))
+    # an account counts from its best ring on
+    best = groups.join(F.broadcast(place), "grp").groupBy("account").agg(F.min("place").alias("place"))
+    best = best.join(truth.select("account").distinct().withColumn("hit", F.lit(1)), "account", "left")
+    reach = place.agg(F.max("place").alias("n"))
+    ks = rings.sparkSession.createDataFrame([(k,) for k in tops], "top_k_rings int").crossJoin(F.broadcast(reach)).filter("top_k_rings <= n")
+    c = ks.join(best, F.col("place") <= F.col("top_k_rings")).groupBy("top_k_rings").agg(F.count("*").alias("accounts_surfaced"), F.count("hit").alias("members_found"))
+    c = c.crossJoin(F.broadcast(truth.select("account").distinct().agg(F.count("*").alias("all"))))
+    return c.select("top_k_rings", "accounts_surfaced", "members_found", F.round(F.col("members_found") / F.greatest("accounts_surfaced", F.lit(1)), 4).alias("precision"), F.round(F.col("members_found") / F.greatest("all", F.lit(1)), 4).alias("recall"), F.round(F.col("accounts_surfaced") / F.greatest("members_found", F.lit(1)), 1).alias("alerts_per_member"))
+
+
+def laundering_truth(ledger: DataFrame, flag: str = "flag", typology: str = "typology") -> DataFrame:
+    """account, typologies: accounts on either side of a flagged transfer, and of what kinds."""
+    both = ledger.filter(F.col(flag) == 1).select(F.explode(F.array("src", "dst")).alias("account"), F.col(typology).alias("kind")).distinct()
+    return both.groupBy("account").agg(F.array_sort(F.collect_list("kind")).alias("typologies"))
+
+
+def account_scores(graph: DataFrame, seeds: DataFrame, rings: DataFrame, members: DataFrame) -> DataFrame:
+    """account, graph_proximity, ring_score of every account of the graph, for a sink."""
+    accounts = graph.select(F.explode(F.array("src", "dst")).alias("account")).distinct()
+    near = propagate(graph, seeds).select("account", F.col("score").alias("graph_proximity"))
+    out = accounts.join(near, "account", "left").join(account_ring(rings, members), "account", "left")
+    return out.select("account", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("graph_proximity", "ring_score")])
+
+
 def account_ring(rings: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.join(rings.select("grp", "score"), "grp").groupBy("account").agg(F.max("score").alias("ring_score"))
 
 
 def _links(graph: DataFrame) -> DataFrame:
     """u, v, w: every undirected link from both ends."""
-    from ledgerloom.sources.io import written
-
     u = graph.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum("weight").cast("double").alias("w"))
     return written(u.unionByName(u.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")), "graph")
 
@@ -154,8 +233,6 @@ def _settled(both: DataFrame, label: DataFrame, free: int = 8) -> DataFrame:
     that is as good. After that an account moves only for strictly more weight, and of neighbours that want to move only
     the one that comes first: each round adds to the weight inside groups, so the rounds end.
     """
-    from ledgerloom.sources.io import written
-
     k = 0
     while True:
         votes = both.join(label.select(F.col("account").alias("v"), "grp"), "v").groupBy(F.col("u").alias("account"), "grp").agg(F.round(F.sum("w"), 9).alias("w"))
@@ -192,8 +269,6 @@ def candidate_groups(graph: DataFrame) -> DataFrame:
     total weight within the group; the resolution r doubles at each level), links of no more than 0 go, and labels
     settle anew. A part equal to its parent is not listed twice, but is split further.
     """
-    from ledgerloom.sources.io import written
-
     both = _links(graph)
     label = _settled(both, _singles(both))
     out, inside = label.withColumn("depth", F.lit(0)), both
