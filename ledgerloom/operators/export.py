@@ -1,14 +1,27 @@
 """Alerts, case fields, reasons and score alignment for other systems."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Scenario names by rule code.
+# Scenario names by rule code.
 SCENARIOS = {
-    "R01": "Pass-through account", "R02": "Turnover far above balance", "R03": "Sudden activation", "R04": "Cash-out dominance", "R05": "Single payment rail", "R06": "Structuring by ticket size",
-    "R07": "Night-time alerts", "R08": "Spike and drain balance", "R09": "Profile mismatch", "R10": "New account moving money fast", "R11": "Pure pass-through", "R12": "Conduit on a single rail", "ML": "Model-derived",
-}
+    "R01": "Pass-through account",
+    "R02": "Turnover disproportionate to balance",
+    "R03": "Sudden account activation",
+    "R04": "Cash-out dominance",
+    "R05": "Single payment rail concentration",
+    "R06": "Structuring by ticket size",
+    "R07": "Nocturnal activity pattern",
+    "R08": "Spike-and-drain balance profile",
+    "R09": "Customer profile mismatch",
+    "R10": "New account rapid turnover",
+    "R11": "Pure pass-through, net flow near zero",
+    "R12": "Conduit on a single rail",
+    "ML": "Model-derived behavioural risk (no single rule fired)",
+}
 PRIORITY = {"HIGH": 1, "MEDIUM": 2, "LOW": 3}
 
 
@@ -36,6 +49,42 @@ def alerts(bands: DataFrame, hits: DataFrame, reasons: DataFrame, model: str, fl
     )
 
 
+#: What receiving systems may rely on: column, type, and what it holds.
+CONTRACT = (
+    ("alert_id", "string", "unique and the same on every run, so a case is updated, not doubled"),
+    ("entity_type", "string", "ACCOUNT"),
+    ("entity_ref", "string", "the account as it was supplied"),
+    ("risk_score", "bigint", "0 to 1000: the calibrated probability times 1000"),
+    ("risk_probability", "double", "0 to 1"),
+    ("risk_band", "string", "LOW, MEDIUM or HIGH, from fitted edges"),
+    ("priority", "bigint", "1 is first, by band"),
+    ("scenario_codes", "string", "codes of the rules that fired, or ML"),
+    ("scenario_names", "string", "their names"),
+    ("n_scenarios", "bigint", "how many"),
+    ("top_reasons", "string", "the three strongest reasons"),
+    ("model_id", "string", "the model behind the score"),
+    ("disposition", "string", "OPEN until somebody decides"),
+)
+
+
+def contract_breaches(flat: DataFrame) -> list[str]:
+    """What alerts lack of the contract: columns, types, repeated ids, scores out of range."""
+    kinds = dict(flat.dtypes)
+    out = [f"{c} is {kinds.get(c, 'absent')}, not {t}" for c, t, _ in CONTRACT if kinds.get(c) != t]
+    if not out:
+        n = flat.agg(F.count("*").alias("n"), F.count_distinct("alert_id").alias("d"), F.count(F.when(~F.col("risk_score").between(0, 1000) | ~F.col("risk_probability").between(0, 1), 1)).alias("bad")).first()
+        out = [f"{n.n - n.d} ids are repeated"] * (n.n != n.d) + [f"{n.bad} scores are out of range"] * (n.bad > 0)
+    return out
+
+
+def account_cards(bands: DataFrame, attributions: DataFrame, n: int = 25, k: int = 6) -> DataFrame:
+    """The n accounts with the highest scores, each with its raising and lowering features in order."""
+    top = bands.orderBy(F.desc("risk_score"), "id").limit(n).select("id", "risk_score", "band")
+    why = account_reasons(attributions.join(F.broadcast(top.select("id")), "id", "left_semi"), k)
+    why = why.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "feature"))), lambda x: x["feature"]).alias("features"))
+    return top.join(why, "id", "left")
+
+
 def case_packs(flat: DataFrame) -> DataFrame:
     """Alerts nested by purpose, for JSON sinks."""
     return flat.select("alert_id", F.struct("entity_type", "entity_ref").alias("entity"), F.struct("risk_score", "risk_probability", "risk_band", "priority").alias("risk"), F.split("scenario_codes", r"\|").alias("scenarios"), F.struct("model_id", "disposition").alias("audit"))
@@ -71,8 +120,44 @@ def align_to_half(p: Column, threshold: float) -> Column:
     return F.when(p >= threshold, hi).otherwise(lo)
 
 
+# Patterns of identifier and score columns, in order of trust.
+ID_COLUMNS = ("ACCOUNT_?ID", "ACCT_?ID", "ACCOUNT_?NUMBER", "CUSTOMER_?ID", "CUST_?ID", "ROW_?NUMBER", "ID")
+SCORE_COLUMNS = ("CALIBRATED_PROBABILITY", "PROBABILITY", "IS_MULE", "SCORE", "RISK_SCORE", "P_.*")
+
+
+def _named(columns: list[str], patterns: tuple[str, ...]) -> str | None:
+    return next((c for p in patterns for c in columns if re.fullmatch(p, c.strip().upper())), None)
+
+
+def build_submission(scores: DataFrame, threshold: float | None = 0.5) -> tuple[DataFrame, list[str]]:
+    """(account_id, is_mule; warnings): the identifier and score columns are found by name; scores that are no probabilities are
+    divided by their maximum; with a threshold they are mapped so that it lies at 0.5. Without an identifier rows are numbered from 1
+    in the order in which they lie, which is said."""
+    found, score, warnings = _named(scores.columns, ID_COLUMNS), _named(scores.columns, SCORE_COLUMNS), []
+    if score is None:
+        raise ValueError(f"no score column; one of {', '.join(SCORE_COLUMNS)} is expected")
+    p = F.expr(f"try_cast(`{score}` AS double)")
+    s = scores.agg(F.min(p).alias("lo"), F.max(p).alias("hi"), F.count(F.when(p.isNull() | F.isnan(p), 1)).alias("bad")).first()
+    if s.bad:
+        raise ValueError(f"{s.bad} rows have a score that is no number")
+    if found is None:
+        warnings.append("no identifier column: rows are numbered in order")
+        rows = scores.select(F.monotonically_increasing_id().alias("_i"), p.alias("_p"))
+        n = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        part = F.shiftright("_i", 33)
+        before = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(n), F.lit(0)).alias("_before"))
+        rows = rows.join(F.broadcast(before), part == F.col("_part")).select((F.col("_before") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("account_id"), "_p")
+    else:
+        rows = scores.select(F.col(f"`{found}`").alias("account_id"), p.alias("_p"))
+    if s.hi is not None and (s.hi > 1.0 or s.lo < 0.0):
+        warnings.append(f"{score} is no probability; divided by its maximum")
+        rows = rows.withColumn("_p", F.col("_p") / F.lit(float(s.hi)))
+    value = align_to_half(F.col("_p"), threshold) if threshold is not None else F.col("_p")
+    return rows.select("account_id", F.round(value, 6).alias("is_mule")), warnings
+
+
 def reliability(metrics: DataFrame) -> DataFrame:
-    """rule, lift -> guidance."""
+    """rule, lift -> guidance (fixed texts)."""
     return metrics.select("rule", "lift", F.when(F.col("lift") > 2, "useful signal").when(F.col("lift") > 1, "weak signal, corroborate before acting").otherwise("performs at or below the base rate on this data; informational only").alias("guidance"))
 
 

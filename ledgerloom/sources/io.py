@@ -4,6 +4,7 @@ import re
 import uuid
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,41 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def read_frame(spark: SparkSession, path: str) -> DataFrame:
+    """A table written as `path`.parquet, or else as `path`.csv."""
+    stem = re.sub(r"\.(parquet|csv)$", "", path)
+    try:
+        return spark.read.parquet(f"{stem}.parquet")
+    except AnalysisException:
+        return read_any(spark, f"{stem}.csv")
+
+
+def read_attributions(spark: SparkSession, path: str) -> DataFrame:
+    """id, feature, value of an attribution table; other columns are left out, a missing one raises."""
+    df = spark.read.parquet(path)
+    if missing := [c for c in ("id", "feature", "value") if c not in df.columns]:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return df.select("id", "feature", F.col("value").cast("double").alias("value"))
+
+
+UPLOADS = (".csv", ".tsv", ".txt", ".parquet")
+
+
+def check_upload(name: str, size: int, limit: int = 2 << 30) -> str:
+    """The file's base name if its kind and size may come in; else ValueError. No path of the sender is kept."""
+    base = re.split(r"[\\/]", name)[-1]
+    if not base.lower().endswith(UPLOADS):
+        raise ValueError(f"files of kind {', '.join(UPLOADS)} are taken, not {base!r}")
+    if not 0 < size <= limit:
+        raise ValueError(f"{base} has {size} bytes; 1 to {limit} are taken")
+    return re.sub(r"[^A-Za-z0-9._-]", "_", base)
+
+
+def save_state(state: DataFrame, path: str) -> None:
+    """Overwrites a small state table (as monitor_batch returns it), also where it was read from the same path."""
+    written(state, "state").coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def read_dictionary(frames: list[DataFrame], columns: list[str]) -> DataFrame:
     """Of several tables the one, and in it the key column, that names most of `columns`: feature, name, desc."""
     known, best = set(columns), (0, None, None)
