@@ -6,6 +6,7 @@ from ledgerloom.operators import graph as G
 from ledgerloom.operators import ledger as L
 from ledgerloom.operators import motifs as M
 from ledgerloom.operators import temporal as T
+from ledgerloom.operators import unified as U
 from ledgerloom.plans.registry import cols, query, rounded
 from ledgerloom.sources.io import written
 from ledgerloom.sources.views import ACCOUNT_VIEW, LEDGER_EV, LEDGER_ORD, account_view, ledger_ev, ledger_ord, table
@@ -69,19 +70,28 @@ NETWORK_SQL = f"{FEAT}, " + ", ".join(x.replace("prep AS", "mprep AS").replace("
 
 
 @query(NETWORK_SQL + """ SELECT f.account_id, round(CAST(f.passthrough AS DOUBLE), 6) AS passthrough, round(CAST(coalesce(e.score, 0) AS DOUBLE), 6) AS motif_score,
- CAST(f.account_id IN (SELECT account FROM fan_out) AS BIGINT) AS motif_fan_out, CAST(f.account_id IN (SELECT account FROM fan_in) AS BIGINT) AS motif_fan_in,
- CAST(f.account_id IN (SELECT account FROM hub) AS BIGINT) AS motif_gather_scatter, CAST(f.account_id IN (SELECT b FROM chain) AS BIGINT) AS motif_chain,
- CAST(coalesce(r.role, '') = 'RELAY' AS BIGINT) AS role_relay, CAST(coalesce(r.role, '') = 'COLLECTOR' AS BIGINT) AS role_collector, CAST(coalesce(r.role, '') = 'DISPERSER' AS BIGINT) AS role_disperser, CAST(coalesce(r.role, '') = 'TERMINAL' AS BIGINT) AS role_terminal
+ CAST(f.account_id IN (SELECT account FROM fan_out) AS DOUBLE) AS motif_fan_out, CAST(f.account_id IN (SELECT account FROM fan_in) AS DOUBLE) AS motif_fan_in,
+ CAST(f.account_id IN (SELECT account FROM hub) AS DOUBLE) AS motif_gather_scatter, CAST(f.account_id IN (SELECT b FROM chain) AS DOUBLE) AS motif_chain,
+ CAST(coalesce(r.role, '') = 'RELAY' AS DOUBLE) AS role_relay, CAST(coalesce(r.role, '') = 'COLLECTOR' AS DOUBLE) AS role_collector, CAST(coalesce(r.role, '') = 'DISPERSER' AS DOUBLE) AS role_disperser, CAST(coalesce(r.role, '') = 'TERMINAL' AS DOUBLE) AS role_terminal
  FROM feat f LEFT JOIN evidence e ON e.account = f.account_id LEFT JOIN roles r ON r.account = f.account_id""")
 def ledger_network_features(spark, d):
-    """Behaviour with motif and role evidence (ring scores need communities and come from graph_ring_score)."""
-    led = ledger_ev(spark, d)
-    m = M.detect(led)
-    by = m["by_motif"].groupBy("account").agg(F.collect_set("motif").alias("motifs"))
-    x = L.features(led).select("account_id", "passthrough").join(m["evidence"].select(F.col("account").alias("account_id"), "score"), "account_id", "left").join(by.withColumnRenamed("account", "account_id"), "account_id", "left").join(G.roles(G.collapse(led)).select(F.col("account").alias("account_id"), "role"), "account_id", "left")
-    has = lambda n: F.coalesce(F.array_contains("motifs", n), F.lit(False)).cast("long").alias("motif_" + n.lower())
-    is_ = lambda n: F.coalesce(F.col("role") == n, F.lit(False)).cast("long").alias("role_" + n.lower())
-    return x.select("account_id", F.round("passthrough", 6).alias("passthrough"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("motif_score"), *[has(n) for n in ("FAN_OUT", "FAN_IN", "GATHER_SCATTER", "CHAIN")], *[is_(n) for n in ("RELAY", "COLLECTOR", "DISPERSER", "TERMINAL")])
+    """Behaviour with motif and role evidence; ring scores hang on communities, so unified_features has them."""
+    led = written(ledger_ev(spark, d), "ledger")
+    both = L.features(led).select("account_id", "passthrough").join(U.network(led, rings=False), "account_id", "left").fillna(0.0)
+    return rounded(both)
+
+
+@query()
+def unified_features(spark, d):
+    """The 28 behavioural and 10 network columns of each account."""
+    return U.build(_planted(spark, d))
+
+
+@query()
+def unified_scores(spark, d):
+    """The supervised scorer, fitted on one half of the accounts and applied to all."""
+    f = written(U.build(_planted(spark, d)), "features").withColumn("y", (F.floor(F.col("account_id") / 6) % 4 == 0).cast("int"))
+    return U.UnifiedScorer(trees=20).fit(f.filter("account_id % 2 = 0"), "y").predict(f)
 
 
 # ------------------------------------------------------------------ motifs
@@ -268,6 +278,47 @@ def graph_community_rings(spark, d):
     return G.ring_scores(g, written(G.candidate_groups(g), "groups"))
 
 
+CURVE_KS = "(VALUES (3), (5), (8), (10), (15), (20), (30), (50)) k(top_k)"
+
+
+@query(PLANTED + f""", truth AS (SELECT account FROM groups WHERE grp % 4 = 0), placed AS (SELECT grp, row_number() OVER (ORDER BY score DESC, grp) AS place FROM rings),
+ best AS (SELECT account, min(place) AS place FROM groups JOIN placed USING (grp) GROUP BY 1),
+ curve AS (SELECT top_k, count(*) AS n, count(*) FILTER (account IN (SELECT account FROM truth)) AS hits FROM best, {CURVE_KS} WHERE place <= top_k AND top_k <= (SELECT max(place) FROM placed) GROUP BY 1)
+ SELECT CAST(top_k AS INTEGER) AS top_k_rings, n AS accounts_surfaced, hits AS members_found, round(hits / n, 4) AS precision, round(hits / (SELECT count(*) FROM truth), 4) AS recall, round(n / greatest(hits, 1), 1) AS alerts_per_member FROM curve""")
+def graph_ring_curve(spark, d):
+    rings, groups = _rings(spark, d)
+    return G.ring_curve(written(rings, "rings"), groups, groups.filter("grp % 4 = 0"))
+
+
+@query(PLANTED.replace(", groups AS", ", seeds AS (SELECT DISTINCT account FROM (SELECT src AS account FROM g UNION SELECT dst FROM g) WHERE account % 37 = 0), groups AS") + f""", {G.HOPS_SQL}, ring AS (SELECT account, max(score) AS ring_score FROM groups JOIN rings USING (grp) GROUP BY 1)
+ SELECT a.account, CAST(coalesce(h.score, 0) AS DOUBLE) AS graph_proximity, CAST(coalesce(r.ring_score, 0) AS DOUBLE) AS ring_score FROM (SELECT src AS account FROM g UNION SELECT dst FROM g) a LEFT JOIN hops h USING (account) LEFT JOIN ring r USING (account)""")
+def graph_account_scores(spark, d):
+    g = written(G.collapse(_planted(spark, d)), "graph")
+    rings, groups = _rings(spark, d)
+    return G.account_scores(g, _accounts(g).filter("account % 37 = 0"), rings, groups)
+
+
+@query(f"{EV[:-2]}, flagged AS (SELECT src, dst, CASE WHEN amount > 150000 THEN 'large' ELSE 'night' END AS kind FROM ledger WHERE amount > 150000 OR hour(ts) < 2), both_ AS (SELECT src AS account, kind FROM flagged UNION SELECT dst, kind FROM flagged) SELECT account, string_agg(kind, '|' ORDER BY kind) AS typologies FROM both_ GROUP BY 1")
+def graph_truth_sets(spark, d):
+    large = F.col("amount") > 150000
+    led = ledger_ev(spark, d).withColumn("flag", (large | (F.hour("ts") < 2)).cast("int")).withColumn("typology", F.when(large, "large").otherwise("night"))
+    return rounded(G.laundering_truth(led))
+
+
+@query("""WITH c AS (SELECT c_custkey - 1 AS src, unnest([CAST(floor(c_acctbal) AS BIGINT), CASE WHEN c_nationkey > 3 THEN c_nationkey * 7 END, c_custkey - 1]) AS dst FROM customer) SELECT src, dst, count(*) AS n FROM c WHERE dst BETWEEN 0 AND (SELECT count(*) FROM customer) - 1 AND src <> dst GROUP BY 1, 2""")
+def graph_index_edges(spark, d):
+    c = table(spark, d, "customer")
+    rows = c.select((F.col("c_custkey") - 1).alias("row"), F.floor("c_acctbal").alias("a"), F.when(F.col("c_nationkey") > 3, F.col("c_nationkey") * 7).alias("b"), (F.col("c_custkey") - 1).alias("c"))
+    return G.edges_of_columns(rows, "row", ["a", "b", "c"]).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query()
+def graph_detect_rings(spark, d):
+    """Rings end to end, from transfers to members."""
+    found = G.detect_rings(_planted(spark, d))
+    return found.rings.join(found.members.groupBy("grp").agg(F.array_sort(F.collect_list("account")).alias("members")), "grp")
+
+
 # ------------------------------------------------------------------ temporal
 TE = f"{EV}{ACCOUNT_VIEW}, {T.TEMPORAL_SQL} "
 

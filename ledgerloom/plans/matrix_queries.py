@@ -1,5 +1,7 @@
 """Queries on wide account tables: features, schema and cleaning decisions, rules, exports."""
 
+import ast
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import export as E
@@ -8,7 +10,7 @@ from ledgerloom.operators import monitor as N
 from ledgerloom.operators import quality as K
 from ledgerloom.plans.metric_queries import BAND_SQL, _bands
 from ledgerloom.plans.registry import cols, query, rounded
-from ledgerloom.sources.views import MATRIX, RAILS, SCORED, acct_matrix, scored
+from ledgerloom.sources.views import MATRIX, RAILS, SCORED, acct_matrix, scored, table
 
 M = f"WITH {MATRIX}, "
 RAIL_COLS = tuple(f"{r.upper()}_AMT_L7D" for r in RAILS)
@@ -93,9 +95,20 @@ def mx_edge_columns(spark, d):
 
 
 # ------------------------------------------------------------------ rules
-RULE_COLS = sorted({c for needs, _ in N.RULES.values() for c in needs if c in MG})
-FIRED = [r for r, (needs, _) in N.RULES.items() if all(n in MG for n in needs)]
-HITS_SQL = M + "f AS (SELECT user_id, y, " + ", ".join(f"CAST({MG[c]} AS DOUBLE) AS {c}" for c in RULE_COLS) + " FROM mx), h AS (SELECT user_id, y, list_filter([" + ", ".join(f"CASE WHEN {N.RULES[r][1]} THEN '{r}' END" for r in FIRED) + "], lambda x: x IS NOT NULL) AS fired FROM f)"
+RULE_COLS = ("mg_passthrough_7d", "mg_turnover_over_balance_7d", "mg_amount_burst_7v31", "mg_cash_out_share_7d", "mg_channel_active_7d", "mg_avg_ticket_7d", "mg_alert_share_night", "mg_balance_volatility_7d", "mg_net_flow_7d")
+HITS_SQL = M + "f AS (SELECT user_id, y, " + ", ".join(f"CAST({MG[c]} AS DOUBLE) AS {c}" for c in RULE_COLS) + """ FROM mx),
+h AS (SELECT user_id, y, list_filter([CASE WHEN mg_passthrough_7d >= 0.9 THEN 'R01' END, CASE WHEN mg_turnover_over_balance_7d >= 50 THEN 'R02' END, CASE WHEN mg_amount_burst_7v31 >= 3 THEN 'R03' END,
+ CASE WHEN mg_cash_out_share_7d >= 0.5 THEN 'R04' END, CASE WHEN mg_channel_active_7d <= 1 THEN 'R05' END, CASE WHEN mg_avg_ticket_7d > 0 AND mg_avg_ticket_7d <= 5000 THEN 'R06' END, CASE WHEN mg_alert_share_night >= 0.5 THEN 'R07' END,
+ CASE WHEN mg_balance_volatility_7d >= 2 THEN 'R08' END, CASE WHEN mg_net_flow_7d BETWEEN -0.05 AND 0.05 AND mg_turnover_over_balance_7d >= 5 THEN 'R11' END,
+ CASE WHEN mg_passthrough_7d >= 0.85 AND mg_channel_active_7d <= 1 THEN 'R12' END], lambda x: x IS NOT NULL) AS fired FROM f)"""
+
+
+@query("SELECT * FROM (VALUES ('R09', 'mg_occ_deviation_max'), ('R10', 'ACCT_OPN_DAYS')) v(rule, missing)")
+def rule_unevaluated(spark, d):
+    """The rules that the account matrix lacks inputs for."""
+    return spark.createDataFrame([(r["rule"], "|".join(r["missing"])) for r in N.unevaluated(_feat(spark, d))], "rule string, missing string")
+
+
 TAIL = "(SELECT count(*) AS n, sum(y) AS pos FROM h) t"
 SCORE_RULE = "SELECT rule, count(*) AS flagged, sum(y)::BIGINT AS caught, round(sum(y) / count(*), 4) AS precision, round(coalesce(sum(y) / nullif(max(pos), 0), 0), 4) AS recall, round(coalesce((sum(y) / count(*)) / nullif(max(pos) / max(n), 0), 0), 2) AS lift, round(count(*) / nullif(sum(y), 0), 2) AS alerts_per_mule"
 
@@ -160,28 +173,50 @@ def profile_columns(spark, d):
     return p.withColumn("is_binary", F.coalesce("is_binary", F.lit(False)))
 
 
-NAMES = ("TOT_TXNAMT_CR_L7D", "avg-bal-7days", "data_month", "case_resolution", "Account Number", "VIEW_AMT_L7D", "COUNT_ALERTS_NIGHT", "MAX_BAL_31DAYS")
-NAMES_SQL = "WITH c AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS \"column\")"
+# column names as extracts have them, put together from every event: a statistic, a rail, a direction, a window, or a leak's name
+STATS_SQL = "['TOT_', 'RA_', 'avg-', 'MAX.', 'D_', 'DA_', 'MM_', 'min ', 'X_', 'R_CI_']"
+RAILS_SQL = "['UPI_AMT', 'NON_CASH_CHQ_TXN', 'ELEC_XFER_AMT', 'pos pymt', 'GST', 'LOAN_BAL', 'ATM_TXNS', 'NET_BNKING', 'BI_FEES_CHRGS', 'SELF', 'BBPS', 'MBNKING_CNT', 'STDNG']"
+LEAKS_SQL = "['False_Positive', 'case status', 'Investigated_By', 'CHARGEBACK_AMT', 'write-off', 'Analyst.Verdict', 'LoadDate', 'RUN_DATE', 'Vintage', 'MNTH', 'data month', 'Max Resolve Days', 'SAR_NO', 'NECESSARY', 'STR_FILED', 'OPENING_DATE', 'DT_LAST', 'EXTRACT_ID', 'EXTRACTION', 'Month_End_Bal', 'BATCH 7', 'PARTITION', 'Closure Reason', 'SNAPSHOT_TIMESTAMP']"
+NAMES_SQL = f"""WITH c AS (SELECT DISTINCT CASE WHEN event_id % 5 = 4 THEN {LEAKS_SQL}[event_id // 5 % 24 + 1] || CASE WHEN user_id % 2 = 0 THEN '' ELSE '_' || event_type END
+ ELSE {STATS_SQL}[event_id % 10 + 1] || {RAILS_SQL}[user_id % 13 + 1] || ['', '_CR', '_DB', '_cr_x'][event_id // 10 % 4 + 1] || ['', '_L7D', '_L31D', '_L7_31D', '_7D'][user_id % 5 + 1] END AS "column" FROM events)"""
 
 
-def _name_rows(spark):
-    return spark.createDataFrame([(n,) for n in NAMES], "column string")
+def _name_rows(spark, d):
+    ev, (i, u) = table(spark, d, "events"), (F.col("event_id"), F.col("user_id"))
+    pick = lambda sql, at: F.get(F.array(*[F.lit(x) for x in ast.literal_eval(sql)]), at.cast("int"))
+    leak = F.concat(pick(LEAKS_SQL, F.floor(i / 5) % 24), F.when(u % 2 == 0, "").otherwise(F.concat(F.lit("_"), "event_type")))
+    plain = F.concat(pick(STATS_SQL, i % 10), pick(RAILS_SQL, u % 13), pick("['', '_CR', '_DB', '_cr_x']", F.floor(i / 10) % 4), pick("['', '_L7D', '_L31D', '_L7_31D', '_7D']", u % 5))
+    return ev.select(F.when(i % 5 == 4, leak).otherwise(plain).alias("column")).distinct()
 
 
 @query(NAMES_SQL + " SELECT \"column\", regexp_replace(upper(\"column\"), '[^A-Z0-9]+', '', 'g') AS normalised FROM c")
 def name_normalise(spark, d):
-    return _name_rows(spark).select("column", K.normalise(F.col("column")).alias("normalised"))
+    return _name_rows(spark, d).select("column", K.normalise(F.col("column")).alias("normalised"))
 
 
-@query(NAMES_SQL + f" SELECT \"column\", regexp_replace(upper(\"column\"), '[^A-Z0-9]+', '', 'g') AS normalised, regexp_matches(\"column\", '{K.POST_OUTCOME}') AS post_outcome, regexp_matches(\"column\", '{K.STRUCTURAL}') AS structural FROM c")
+@query(NAMES_SQL + """, n AS (SELECT "column", regexp_replace(upper("column"), '[^A-Z0-9]+', '', 'g') AS normalised FROM c)
+ SELECT "column", normalised, contains(normalised, 'FRAUDSUSPECT') OR contains(normalised, 'SUSPECTEDFRAUD') OR contains(normalised, 'FALSEPOSITIVE') OR contains(normalised, 'TRUEPOSITIVE') OR contains(normalised, 'RESOLUTION')
+  OR contains(normalised, 'RESOLVEDAYS') OR contains(normalised, 'RESOLVEDDAYS') OR contains(normalised, 'RESOLVEDBY') OR contains(normalised, 'UNATTENDED') OR contains(normalised, 'DISPOSITION') OR contains(normalised, 'INVESTIGAT')
+  OR contains(normalised, 'CASESTATUS') OR contains(normalised, 'CASEOUTCOME') OR contains(normalised, 'ALERTOUTCOME') OR contains(normalised, 'CONFIRMEDFRAUD') OR starts_with(normalised, 'SAR') OR starts_with(normalised, 'STRFILED')
+  OR starts_with(normalised, 'STRRAISED') OR contains(normalised, 'CHARGEBACK') OR contains(normalised, 'WRITEOFF') OR contains(normalised, 'CLOSUREREASON') OR contains(normalised, 'ANALYSTVERDICT') AS post_outcome,
+  normalised IN ('MNTH', 'MONTH', 'VINTAGE') OR contains(normalised, 'SNAPSHOT') OR ends_with(normalised, 'EXTRACT') OR ends_with(normalised, 'EXTRACTDATE') OR ends_with(normalised, 'EXTRACTMONTH') OR ends_with(normalised, 'EXTRACTID')
+  OR starts_with(normalised, 'BATCH') OR contains(normalised, 'LOADDATE') OR contains(normalised, 'ASOFDATE') OR starts_with(normalised, 'PARTITION') OR starts_with(normalised, 'DATAMONTH') OR starts_with(normalised, 'RUNDATE') OR starts_with(normalised, 'FILEDATE') AS structural,
+  ends_with(normalised, 'DATE') OR starts_with(normalised, 'DT') OR contains(normalised, 'DTTM') OR ends_with(normalised, 'TIMESTAMP') AS raw_date FROM n""")
 def name_leaks(spark, d):
-    return K.leak_names(_name_rows(spark))
-
-
-@query(NAMES_SQL + """ SELECT "column", nullif(regexp_extract(upper("column"), '(?:^|_)(TOT|AVG|MAX|MIN|COUNT)(?:_|$)', 1), '') AS stat, nullif(regexp_extract(upper("column"), '(?:^|_)(VIEW|CLICK|SIGNUP|PURCHASE|ERROR|CASH|ATM|UPI)(?:_|$)', 1), '') AS channel,
- nullif(regexp_extract(upper("column"), '(?:^|_)(CR|DB)(?:_|$)', 1), '') AS direction, CAST(nullif(regexp_extract(upper("column"), '(?:^|_)L?([0-9]+)D(?:AYS)?(?:_|$)', 1), '') AS INTEGER) AS days FROM c""")
+    return K.leak_names(_name_rows(spark, d))
+
+
+@query(NAMES_SQL + """, u AS (SELECT "column", upper("column") AS n FROM c) SELECT "column",
+ CASE WHEN starts_with(n, 'RA_') THEN 'RA' WHEN starts_with(n, 'DA_') THEN 'DA' WHEN starts_with(n, 'D_TA_') THEN 'D_TA' WHEN starts_with(n, 'AVG_') THEN 'AVG' WHEN starts_with(n, 'MAX_') THEN 'MAX' WHEN starts_with(n, 'MIN_') THEN 'MIN'
+  WHEN starts_with(n, 'MM_') THEN 'MM' WHEN starts_with(n, 'TOT_') THEN 'TOT' WHEN starts_with(n, 'R_') THEN 'R' WHEN starts_with(n, 'D_') THEN 'D' END AS stat,
+ CASE WHEN contains(n, 'CASH') THEN 'cash' WHEN contains(n, 'CHQ') THEN 'cheque' WHEN contains(n, 'UPI') THEN 'UPI' WHEN contains(n, 'ATM') THEN 'ATM' WHEN contains(n, 'ELEC_XFER') THEN 'online transfer (IMPS/NEFT/RTGS)'
+  WHEN contains(n, 'POS_PYMT') THEN 'merchant payment' WHEN contains(n, 'NET_BNKING') THEN 'net banking' WHEN contains(n, 'MBNKING') THEN 'mobile banking' WHEN contains(n, 'BBPS') THEN 'bill payment' WHEN contains(n, 'APB') THEN 'Aadhaar Payment Bridge'
+  WHEN contains(n, 'GST') THEN 'GST' WHEN contains(n, 'LOAN') THEN 'loan' WHEN contains(n, 'STDNG') THEN 'standing instruction' WHEN contains(n, 'NON_CASH_CHQ') THEN 'non-cash non-cheque' WHEN contains(n, 'CI') THEN 'customer-induced'
+  WHEN contains(n, 'BI_FEES_CHRGS') THEN 'bank fees/charges' END AS channel,
+ CASE WHEN contains(n, '_CR_') OR ends_with(n, '_CR') THEN 'CR' WHEN contains(n, '_DB_') OR ends_with(n, '_DB') THEN 'DB' END AS direction,
+ coalesce(nullif(regexp_extract(n, '_L([0-9]+_[0-9]+D)$', 1), ''), nullif(regexp_extract(n, '_L([0-9]+D)$', 1), '')) AS "window" FROM u""")
 def name_family(spark, d):
-    return K.name_family(_name_rows(spark))
+    return K.name_family(_name_rows(spark, d))
 
 
 PART = ("DATA_MONTH", "RISK_LEVEL", "COUNT_ALERTS")
@@ -243,10 +278,9 @@ def separation(spark, d):
     return K.separation(_dirty(spark, d), "y", list(SEP))
 
 
-@query(DIRTY + " SELECT user_id, CAST(CASE RISK_LEVEL WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END AS DOUBLE) AS level FROM dirty")
+@query(DIRTY + " SELECT user_id, CAST(CASE RISK_LEVEL WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END AS DOUBLE) AS level FROM dirty")
 def encode_ordinal(spark, d):
-    df = _dirty(spark, d)
-    return df.select("user_id", K.encode_ordinal(df, "RISK_LEVEL", K.ORDINAL[0]).alias("level"))
+    return _dirty(spark, d).select("user_id", K.encode_ordinal(F.col("RISK_LEVEL"), K.ordinal_mapping(["LOW", "MEDIUM", "HIGH"])).alias("level"))
 
 
 @query(DIRTY + " SELECT user_id, " + ", ".join(f"CAST(DATA_MONTH = 'M{i}' AS INTEGER) AS mg_DATA_MONTH_M{i}" for i in range(1, 5)) + " FROM dirty")
@@ -259,9 +293,9 @@ def training_medians(spark, d):
     return rounded(K.training_medians(_dirty(spark, d), list(NUM)))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('identifiers', 'ACCOUNT_NUMBER'), ('leak_names', 'DATA_MONTH'), ('blank_gap', 'BLANKY'), ('sparse', 'SPARSE_COL'), ('partitions', 'LEAK_COL'), ('constant', 'CONST_COL'), ('collinear', 'COPY_COL')) v(step, \"column\")")
 def cleaned_matrix(spark, d):
-    """The whole cleaning, with what it dropped by step."""
+    """The whole cleaning of the table with planted faults, with what it dropped by step: each fault by the step made for it."""
     _, report = K.hardened(_dirty(spark, d), "y", keep=("user_id",))
     return spark.createDataFrame([(step, c) for step, names in report.items() for c in names], "step string, column string")
 
@@ -285,7 +319,7 @@ ALERT_SQL = BAND_SQL + f""", {ATTR}, why0 AS (SELECT id, feature, value, row_num
 why AS (SELECT id, string_agg(feature || ' (' || CASE WHEN value > 0 THEN 'INCREASES_RISK' ELSE 'DECREASES_RISK' END || ')', ' ; ' ORDER BY place) AS top_reasons FROM why0 WHERE place <= 3 GROUP BY id),
 top AS (SELECT b.id, b.risk_score, b.band, s.p FROM bands b JOIN scored s USING (id) WHERE band IN ('HIGH', 'MEDIUM') ORDER BY b.risk_score DESC, b.id LIMIT 500),
 al AS (SELECT 'MG-' || upper(substr(sha256('ledgerloom|' || id || '|' || risk_score), 1, 12)) AS alert_id, 'ACCOUNT' AS entity_type, CAST(id AS VARCHAR) AS entity_ref, CAST(risk_score AS BIGINT) AS risk_score, round(p, 6) AS risk_probability, band AS risk_band, CAST(CASE band WHEN 'HIGH' THEN 1 ELSE 2 END AS BIGINT) AS priority,
- CASE id % 3 WHEN 0 THEN 'R01|R06' WHEN 1 THEN 'R04' ELSE 'ML' END AS scenario_codes, CASE id % 3 WHEN 0 THEN 'Pass-through account ; Structuring by ticket size' WHEN 1 THEN 'Cash-out dominance' ELSE 'Model-derived' END AS scenario_names, CAST(CASE id % 3 WHEN 0 THEN 2 ELSE 1 END AS BIGINT) AS n_scenarios, coalesce(top_reasons, '') AS top_reasons, 'ledgerloom' AS model_id, 'OPEN' AS disposition FROM top LEFT JOIN why USING (id))"""
+ CASE id % 3 WHEN 0 THEN 'R01|R06' WHEN 1 THEN 'R04' ELSE 'ML' END AS scenario_codes, CASE id % 3 WHEN 0 THEN 'Pass-through account ; Structuring by ticket size' WHEN 1 THEN 'Cash-out dominance' ELSE 'Model-derived behavioural risk (no single rule fired)' END AS scenario_names, CAST(CASE id % 3 WHEN 0 THEN 2 ELSE 1 END AS BIGINT) AS n_scenarios, coalesce(top_reasons, '') AS top_reasons, 'ledgerloom' AS model_id, 'OPEN' AS disposition FROM top LEFT JOIN why USING (id))"""
 
 
 def _alerts(spark, d):
@@ -303,9 +337,21 @@ def export_alert_ids(spark, d):
     return _alerts(spark, d).select("alert_id", "entity_ref")
 
 
-@query()
+@query(ALERT_SQL + " SELECT alert_id, entity_type, entity_ref, risk_score, risk_probability, risk_band, priority, scenario_codes AS scenarios, model_id, disposition FROM al")
 def export_case_packs(spark, d):
-    return E.case_packs(_alerts(spark, d))
+    """Case packs, with their nested fields side by side."""
+    return E.case_packs(_alerts(spark, d)).select("alert_id", "entity.*", "risk.*", F.concat_ws("|", "scenarios").alias("scenarios"), "audit.*")
+
+
+@query(BAND_SQL + f", {ATTR}, r AS (SELECT id, feature, value, row_number() OVER (PARTITION BY id, value > 0 ORDER BY abs(value) DESC, feature) AS n FROM attr WHERE value <> 0), k AS (SELECT id, feature, row_number() OVER (PARTITION BY id ORDER BY CAST(value < 0 AS INTEGER), n) AS place FROM r WHERE (value > 0 AND n <= 4) OR (value < 0 AND n <= 2)), t AS (SELECT id, risk_score, band FROM bands ORDER BY risk_score DESC, id LIMIT 25) SELECT t.id, risk_score, band, string_agg(feature, '|' ORDER BY place) AS features FROM t LEFT JOIN k USING (id) GROUP BY ALL")
+def export_account_cards(spark, d):
+    return E.account_cards(_bands(spark, d), _attr(spark, d)).withColumn("features", F.concat_ws("|", "features"))
+
+
+@query("SELECT 0 AS breaches")
+def export_contract(spark, d):
+    """The alerts keep their contract."""
+    return spark.createDataFrame([(len(E.contract_breaches(_alerts(spark, d))),)], "breaches int")
 
 
 @query(f"WITH {SCORED}, {ATTR}, r AS (SELECT id, feature, value, row_number() OVER (PARTITION BY id, value > 0 ORDER BY abs(value) DESC, feature) AS n FROM attr WHERE value <> 0), k AS (SELECT * FROM r WHERE (value > 0 AND n <= 4) OR (value < 0 AND n <= 2)) SELECT id, row_number() OVER (PARTITION BY id ORDER BY CAST(value < 0 AS INTEGER), n) AS place, feature, round(value, 6) AS value FROM k")
