@@ -90,23 +90,55 @@ def test_cleaning(spark):
     assert report["identifiers"] == ["account_number"] and "data_month" in report["leak_names"] and report["sparse"] == ["rare"] and report["constant"] == ["flat"] and report["collinear"] == ["copy"] and report["leak_correlation"] == ["leak"]
     assert {"a", "mg_colour_blue", "mg_colour_green", "mg_colour_red", "is_mule"} == set(out.columns)
     assert K.row_order(df.withColumn("o", F.col("is_mule") * 2**50 + F.monotonically_increasing_id()), "is_mule", "o").first().is_sorted
-    assert K.ordinal_mapping(["low", "High", "medium"]) == {"LOW": 0, "MEDIUM": 1, "HIGH": 2} and K.ordinal_mapping(["a", "b", "c"]) is None
+    assert K.ordinal_mapping(["low", "High", "medium"])["HIGH"] == 3 and K.ordinal_mapping(["L7D", "L31D", "G365D"])["G365D"] == 730 and K.ordinal_mapping(["a", "b", "c"]) is None
 
 
 @pytest.mark.parametrize(("name", "want"), [("TOT_TXNAMT_CR_L7D", ("amount", "credit", 7)), ("InwardAmount7Day", ("amount", "credit", 7)), ("credit_value_week", ("amount", "credit", 7)), ("outflow.amt.31d", ("amount", "debit", 31)), ("mean balance 31 days", ("balance", None, 31)), ("cash_withdrawal_amt_7d", ("amount", "debit", 7)), ("AVG_BAL_7DAYS", ("balance", None, 7)), ("TOT_TXNS_L7D", ("count", None, 7)), ("credit_amt_7_d", ("amount", "credit", 7))])
 def test_names(name, want):
-    r = R.parse_role(name)
-    assert (r.measure, r.direction, r.window) == want
+    facts = R.meaning(name)
+    assert (facts.get("measure"), facts.get("direction"), facts.get("window")) == want
 
 
 def test_name_lookup():
     for name in ("MNTH", "MONTH", "data_month", "extract_month"):
-        assert R.parse_role(name).window is None
+        assert "window" not in R.meaning(name)
     for name in ("customer_ref", "account_number", "acct_opened_on", "ref_key"):
-        assert R.parse_role(name).measure is None
-    idx = R.RoleIndex(["InwardAmount7Day", "OutwardAmount7Day", "total value 7 days", "mean.balance.7d", "transaction count week", "cash_withdrawal_amt_7d", "upi_inflow_value_week", "total inward amount 31 days", "customer_ref", "MNTH"])
+        assert "measure" not in R.meaning(name)
+    for name, channel in (("upi_inflow_value_week", "UPI"), ("atm_debit_amount_7d", "ATM"), ("NEFT_AMT_DB_L7D", "ELEC_XFER"), ("credit_value_week", None)):
+        assert R.meaning(name).get("channel") == channel
+    assert R.meaning("TOT_TXNAMT_CR_L7D") == {"measure": "amount", "direction": "credit", "stat": "TOT", "window": 7}
+    assert R.meaning("amt_d_7_x").get("stat") is None and R.meaning("D_AMT").get("stat") == "DEV" and R.meaning("D7_AMT") == {"measure": "amount", "window": 7}
+    names = ["InwardAmount7Day", "OutwardAmount7Day", "total value 7 days", "mean.balance.7d", "transaction count week", "cash_withdrawal_amt_7d", "upi_inflow_value_week", "total inward amount 31 days", "customer_ref", "MNTH"]
+    table = R.Columns(names)
     for want, got in (("TOT_TXNAMT_CR_L7D", "InwardAmount7Day"), ("TOT_TXNAMT_DB_L7D", "OutwardAmount7Day"), ("AVG_BAL_7DAYS", "mean.balance.7d"), ("CASH_AMT_DB_L7D", "cash_withdrawal_amt_7d"), ("UPI_AMT_CR_L7D", "upi_inflow_value_week"), ("TOT_TXNAMT_CR_L31D", "total inward amount 31 days"), ("TOT_TXNAMT_L7D", "total value 7 days"), ("CHQ_AMT_DB_L7D", None)):
-        assert idx.find(R.parse_role(want)) == got
+        assert table.find(R.meaning(want)) == got
+    found = R.resolutions(["TOT_TXNAMT_CR_L7D", "mean balance 7d", "CHQ_AMT_DB_L7D"], names, protected=("InwardAmount7Day",))
+    assert [found[w]["how"] for w in found] == ["absent", "normalised", "absent"]
+
+
+def test_leak_names_and_dates(spark):
+    names = ["FALSE_POSITIVE", "Investigated by", "CHARGEBACKS", "WriteOff_amt", "analyst_verdict", "LOAD_DATE", "RUN_DATE", "VINTAGE", "amount", "MONTHLY_BAL", "open_date"]
+    got = {r.column: r for r in K.leak_names(spark.createDataFrame([(n,) for n in names], "column string")).collect()}
+    assert all(got[n].post_outcome for n in names[:5]) and all(got[n].structural for n in names[5:8])
+    assert not any(got[n].post_outcome or got[n].structural for n in names[8:]) and got["open_date"].raw_date
+    df = spark.createDataFrame([("2020-01-01", 3, 1)], "open_date string, close_date int, y int")
+    assert K.raw_dates(df, "y") == ["open_date"]
+    codes = spark.createDataFrame([("F1", "FALSE_POSITIVE"), ("F2", "Data month"), ("F3", "balance"), ("MNTH", None)], "feature string, name string")
+    assert {r.feature: r.kind for r in K.leak_codes(codes).collect()} == {"F1": "post_outcome", "F2": "structural", "MNTH": "structural"}
+
+
+def test_skewed_ranks(spark):
+    """Most rows share a score: ranks are as in one sorted list, and no range holds most rows."""
+    from ledgerloom.functions.numeric import ranged
+
+    rows = [(i, 0.5 if i % 10 else (i % 97) / 97) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, p double")
+    want = {i: k + 1 for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert {r.id: r["rank"] for r in X.ranked(df).collect()} == want
+    text = df.select(F.concat(F.lit("A"), F.col("id").cast("string")).alias("id"), "p")
+    want = {i: k + 1 for k, (i, _) in enumerate(sorted(((f"A{i}", p) for i, p in rows), key=lambda r: (-r[1], r[0])))}
+    assert {r.id: r["rank"] for r in X.ranked(text).collect()} == want
+    assert ranged(df, "p", "id").groupBy("_b", "_c").count().agg(F.max("count")).first()[0] < 300
 
 
 def test_readers(spark, tmp_path):
@@ -170,11 +202,18 @@ def test_registered_learners_use_the_reference_tree_counts(spark, monkeypatch):
     assert H.IsolationForest().trees == 300
 
 
-def test_attributions_add_up(spark):
+def test_attributions_are_out_of_fold(spark):
     rng = random.Random(8)
     df = spark.createDataFrame([(i, int(x > 0.7), x, rng.random()) for i, x in enumerate(rng.random() for _ in range(200))], "id long, y int, a double, b double")
     a = H.attributions(df, ["a", "b"], "id")
-    assert abs(a.agg(F.sum("value")).first()[0]) < 1e-6 and a.count() == 400
+    assert a.count() == 400
+    # values are linear in the distance from the mean of the other folds' rows, with one slope a fold
+    fold = {r.id: r.fold for r in X.folds(df, 3).collect()}
+    x, v = {r.id: r.a for r in df.collect()}, {r.id: r.value for r in a.filter("feature = 'a'").collect()}
+    for i in range(3):
+        mean = np.mean([x[k] for k in x if fold[k] != i])
+        slopes = [v[k] / (x[k] - mean) for k in x if fold[k] == i and abs(x[k] - mean) > 1e-3]
+        assert max(slopes) - min(slopes) < 1e-6 and slopes[0] > 0
 
 
 def test_streaming_fans_equal_batch(spark, tmp_path):
