@@ -96,6 +96,33 @@ def rank_shares(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
     return cells.join(shares, ["column", "x"]).select(key, "column", "share")
 
 
+def quantiles(rows: DataFrame, names: list[str], probs: list[float]) -> DataFrame:
+    """column, prob, value: exact quantiles of the finite values of each column, with lines between neighbours.
+
+    Values are counted first and dealt to ranges cut at approximate quantiles; ranks are looked up in the counts of ranges, and only
+    the ranges that hold one are numbered. So no task holds all values of a column. Columns without a value are absent.
+    """
+    cells = rows.select(*[finite(F.col(f"`{c}`")).alias(c) for c in names]).unpivot([], names, "column", "x").filter("x is not null")
+    values = cells.groupBy("column", "x").agg(F.count("*").alias("n"))
+    cuts = cells.groupBy("column").agg(F.percentile_approx("x", F.array(*[F.lit(i / 128) for i in range(1, 128)]), 1000).alias("q"))
+    values = values.join(F.broadcast(cuts), "column").select("column", "x", "n", F.size(F.filter("q", lambda e: e < F.col("x"))).alias("range"))
+    before, every = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("column")
+    ranges = values.groupBy("column", "range").agg(F.sum("n").alias("m"))
+    ranges = ranges.select("column", "range", "m", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"), F.sum("m").over(every).alias("all"))
+    at = F.col("prob") * (F.col("all") - 1)
+    ranks = ranges.select("column", F.col("all"), F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")).distinct()
+    ranks = ranks.select("column", "prob", at.alias("at"), F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("rank"))
+    held = ranks.join(ranges.select("column", "range", "m", "before"), "column").filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m")))
+    # a range is numbered once, whatever the number of ranks in it
+    some = values.join(F.broadcast(held.select("column", "range", "before").distinct()), ["column", "range"])
+    up = Window.partitionBy("column", "range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    some = some.withColumn("first", F.col("before") + F.coalesce(F.sum("n").over(up), F.lit(0)))
+    found = some.select("column", "range", "x", "n", "first").join(F.broadcast(held.select("column", "range", "prob", "at", "rank")), ["column", "range"]).filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    lo, hi = F.min_by("x", "rank"), F.max_by("x", "rank")
+    value = F.when(F.min("rank") == F.max("rank"), lo).otherwise((F.max("rank") - F.max("at")) * lo + (F.max("at") - F.min("rank")) * hi)
+    return found.groupBy("column", "prob").agg(value.alias("value"))
+
+
 def near_any(amount: Column, limits: tuple[float, ...], band: float = 0.10) -> Column:
     """In the band just below any of the limits."""
     out = F.lit(False)

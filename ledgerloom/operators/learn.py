@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numeric import finite
+from ledgerloom.functions.numeric import finite, quantiles
 from ledgerloom.operators.metrics import folds
 from ledgerloom.sources.io import written
 from ledgerloom.shipping import ship
@@ -29,8 +29,9 @@ TREES, ISOLATION_TREES, GAIN_TREES, AUDIT_TREES = 400, 300, 150, 200
 
 
 def medians(df: DataFrame, names: list[str]) -> dict[str, float]:
-    row = df.agg(*[F.percentile(finite(F.col(c)), F.lit(0.5)).alias(c) for c in names]).first()
-    return {c: float(row[c]) if row[c] is not None else 0.0 for c in names}
+    """The median of each column's finite values, 0 without any."""
+    found = {r.column: r.value for r in quantiles(df, names, [0.5]).collect()}
+    return {c: float(found.get(c, 0.0)) for c in names}
 
 
 def impute(df: DataFrame, fill: dict[str, float]) -> DataFrame:

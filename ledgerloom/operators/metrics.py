@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.numeric import div0, ranged
+from ledgerloom.functions.numeric import div0, quantiles, ranged
+from ledgerloom.sources.io import written
 
 REVIEWS_PER_DAY = 40
 
@@ -25,7 +26,7 @@ def ranked(scored: DataFrame) -> DataFrame:
 
 def curve(scored: DataFrame) -> DataFrame:
     """Per distinct p: n, pos, and cum_n, cum_pos of the rows at or above it, with the totals all_n and all_pos."""
-    d = scored.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("pos"))
+    d = written(scored.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("pos")), "curve")
     d = ranged(d, "p").drop("_c")
     by = d.groupBy("_b").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p"))
     above, every = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
@@ -141,7 +142,8 @@ def band_load(bands: DataFrame) -> DataFrame:
 
 def standing(rows: DataFrame, column: str) -> DataFrame:
     """rows with standing of the column against the population's median, 90th and 99th percentile."""
-    q = rows.agg(*[F.percentile(column, F.lit(x)).alias(f"_{n}") for n, x in (("med", 0.5), ("p90", 0.9), ("p99", 0.99))])
+    q = quantiles(rows, [column], [0.5, 0.9, 0.99])
+    q = q.agg(*[F.max(F.when(F.col("prob") == x, F.col("value"))).alias(f"_{n}") for n, x in (("med", 0.5), ("p90", 0.9), ("p99", 0.99))])
     v = F.col(column)
     text = F.when(v.isNull(), "no value recorded").when(v >= F.col("_p99"), "top 1% of all accounts").when(v >= F.col("_p90"), "top 10% of all accounts").when(v > F.col("_med"), "above the population median").otherwise("at or below the population median")
     return rows.crossJoin(F.broadcast(q)).withColumn("standing", text).drop("_med", "_p90", "_p99")

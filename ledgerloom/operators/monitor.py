@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.numeric import div0, finite, ranged
+from ledgerloom.functions.numeric import div0, finite, quantiles, ranged
 
 #: Fixed values of the monitoring policy.
 PSI_MATERIAL, PSI_SEVERE, KS_ALARM, SCORE_PSI, PRECISION_TOL, BREACHES, MIN_REVIEWED = 0.25, 0.50, 0.15, 0.10, 0.10, 2, 30
@@ -22,7 +22,8 @@ def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int
     Fewer than 3 different quantiles, or an empty side, give 0.
     """
     r, c = _finite(reference, features, "r"), _finite(current, features, "c")
-    q = r.groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("x", F.array(*[F.lit(i / bins) for i in range(bins + 1)])))).alias("q"))
+    q = quantiles(reference, features, [i / bins for i in range(bins + 1)])
+    q = q.groupBy(F.col("column").alias("feature")).agg(F.array_sort(F.collect_set("value")).alias("q"))
     inner = F.slice("q", 2, F.greatest(F.size("q") - 2, F.lit(0)))
     at = F.size(F.filter(inner, lambda e: e <= F.col("x")))
     counts = r.unionByName(c).join(F.broadcast(q.filter("size(q) >= 3")), "feature").groupBy("feature", at.alias("bin"), F.size("q").alias("k")).agg(*[F.count(F.when(F.col("period") == p, 1)).alias(p) for p in ("r", "c")])

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.numeric import finite, ranged
+from ledgerloom.functions.numeric import finite, quantiles, ranged
 
 #: Fixed values of the cleaning policy.
 MAX_MISSING, MAX_CORR, LEAK_CORR, BLANK_GAP, PARTITION_CARD, PURITY, CATEGORIES = 0.50, 0.98, 0.90, 0.10, 60, 0.98, 30
@@ -263,7 +263,7 @@ def encode_onehot(df: DataFrame, column: str) -> DataFrame:
 
 def training_medians(df: DataFrame, names: list[str]) -> DataFrame:
     """position, column, median: the contract of a model's inputs."""
-    cells = long(df, names).withColumn("x", F.expr("try_cast(value AS double)")).groupBy("column").agg(F.percentile("x", F.lit(0.5)).alias("m"))
+    cells = quantiles(df.select(*[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in names]), names, [0.5]).select("column", F.col("value").alias("m"))
     place = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(names)], "position long, column string")
     return place.join(cells, "column", "left").select("position", "column", F.round("m", 6).alias("median"))
 

@@ -31,6 +31,22 @@ def foreign(spark, n=60):
     return spark.createDataFrame(rows, "ref long, `total inward 31 days` double, `total outward 31 days` double, round_ratio double, time_to_out double, note string")
 
 
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    from ledgerloom.functions.numeric import quantiles
+
+    rng, probs = random.Random(5), [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
+    rows = [(rng.gauss(0, 1), float(rng.choice([1, 1, 1, 1, 7])), None if i % 3 else rng.random(), None, float("nan") if i % 2 else float(i)) for i in range(700)]
+    got = {(r.column, r.prob): r.value for r in quantiles(spark.createDataFrame(rows, "a double, b double, c double, d double, `e x` double"), ["a", "b", "c", "d", "e x"], probs).collect()}
+    for k, c in ((0, "a"), (1, "b"), (2, "c"), (4, "e x")):
+        want = np.quantile([r[k] for r in rows if r[k] is not None and r[k] == r[k]], probs)
+        assert np.allclose([got[c, p] for p in probs], want, atol=1e-12)
+    assert len(got) == 28
+    one = spark.createDataFrame([(3.0,)], "x double")
+    assert {r.value for r in quantiles(one, ["x"], probs).collect()} == {3.0} and quantiles(one.limit(0), ["x"], probs).count() == 0
+
+
 def test_typology(spark):
     df = foreign(spark)
     signals, source = C.typology(df, "ref")
