@@ -1,28 +1,19 @@
 """Readers and writers: delimited files with a sniffed delimiter, Parquet with checks, dictionaries, edges, sinks."""
 
 import re
-import uuid
-import tempfile
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import new_path, written_to
+
 DELIMITERS = (",", ";", "\t", "|")
-_root: dict[str, str] = {}
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written once to the folder that all executors share, and read back: cuts the lineage of iterations."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = _root.setdefault("root", tempfile.mkdtemp(prefix="ledgerloom-"))
-    path = f"{root.rstrip('/')}/ledgerloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_to(df, new_path(df.sparkSession, label))
 
 
 def sniff(lines: list[str]) -> str:

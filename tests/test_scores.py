@@ -12,7 +12,7 @@ from ledgerloom.operators import monitor as N
 from ledgerloom.operators import names as R
 from ledgerloom.operators import quality as K
 from ledgerloom.sources import io
-from ledgerloom.streaming import fans
+from ledgerloom.streaming import fans, policy
 
 
 @pytest.fixture(scope="module")
@@ -216,6 +216,22 @@ def test_attributions_are_out_of_fold(spark):
         assert max(slopes) - min(slopes) < 1e-6 and slopes[0] > 0
 
 
+def test_live_policy_equals_batch(spark, tmp_path):
+    rng = random.Random(4)
+    pick = lambda *xs: rng.choice(xs)
+    rows = [(s, b, pick(0.1, 0.3, 0.7, None), pick(0.05, 0.2), pick(0.5, 0.95, None), pick(10, 40)) for s in "abc" for b in range(30)]
+    kind = "source string, batch long, weighted_psi double, score_psi double, precision double, reviewed long"
+    for part in range(3):
+        spark.createDataFrame([r for r in rows if r[1] // 10 == part], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = policy.live_policy(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), 0.9)
+        q.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r.source, r.batch): (r.action, r.signoff) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    for s in "abc":
+        batch = spark.createDataFrame([r[1:] for r in rows if r[0] == s], kind.split(", ", 1)[1])
+        assert {(s, r.batch): (r.action, r.signoff) for r in N.policy(batch, 0.9).collect()}.items() <= got.items()
+    assert len(got) == 90
+
+
 def test_streaming_fans_equal_batch(spark, tmp_path):
     rows = [(f"h{i % 2}", f"l{i}", 10.0, f"2023-01-{1 + i % 20:02d} 10:00:00") for i in range(60)]
     df = spark.createDataFrame(rows, "src string, dst string, amount double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
