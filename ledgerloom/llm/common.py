@@ -5,8 +5,6 @@ helpers below work on that buffer with numpy: no Python object exists per word.
 """
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,47 +14,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.sources.shared import delete, new_path, written_to
+
 #: The white space that separates words in every contract: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_local_root: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where a local master names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _local_root.setdefault("root", tempfile.mkdtemp(prefix="ledgerloom-"))
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/ledgerloom/{label}-{uuid.uuid4().hex}"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-
-
 _open: list[list[str]] = []
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back, which cuts its lineage.
 
-    Ids given by position stay fixed from here on, and a lost executor costs a reread only. Inside `scratch` the table
-    goes when the block ends.
+    Ids given by position stay fixed from here on, and a lost executor costs a reread only. The table goes with the
+    application, inside `scratch` when the block ends.
     """
     path = new_path(df.sparkSession, label)
     if _open:
         _open[-1].append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written_to(df, path)
 
 
 @contextlib.contextmanager

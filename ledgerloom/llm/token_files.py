@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import materialise, new_path, slices
+from ledgerloom.llm.common import materialise, slices
 from ledgerloom.llm.token_cache import CachedTokenizer
 from ledgerloom.shipping import ship
+from ledgerloom.sources.shared import new_path
 
 HEADER = struct.Struct("<4sBBHIIQQQQ")
 #: Ids a block, and tokens a shard: 64 MB and more in 16 bits, so that files are not many.

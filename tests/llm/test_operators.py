@@ -432,7 +432,7 @@ def test_word_hashes_keep_words_apart():
 def test_written_tables_go(spark, docs, tmp_path):
     import pathlib
 
-    from ledgerloom.llm.common import shared_root
+    from ledgerloom.sources.shared import shared_root
 
     folder = pathlib.Path(shared_root(spark)) / "ledgerloom"
     before = set(folder.glob("*"))
