@@ -39,7 +39,7 @@ HASHES = ROWS * BANDS
 MARGIN = 0.2
 #: Members in one block of a cluster beside the pivot alone, members in a block of full sets, elements of the sets in
 #: either, and blocks of full sets whose sketches are compared together.
-STAR_ROWS, BLOCK_ROWS, BLOCK_ITEMS, GROUP = 64, 256, 300_000, 8
+STAR_ROWS, BLOCK_ROWS, BLOCK_ITEMS, GROUP = 32, 128, 300_000, 4
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = (_rng.integers(0, 2**32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
