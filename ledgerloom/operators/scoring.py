@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.numeric import div0, finite, rank_shares
+from ledgerloom.functions.numeric import div0, finite, rank_means
 from ledgerloom.operators import learn, metrics, names, quality
 
 # What a column name must hold, whether high (1) or low (-1) is suspicious, and the signal's name.
@@ -66,12 +66,12 @@ def typology(df: DataFrame, key: str) -> tuple[DataFrame, dict[str, str]]:
 
 
 def rank_score(signals: DataFrame, key: str) -> DataFrame:
-    """key, score: the mean rank share of each row's signals that are not null; 0 without any."""
+    """key, score: the mean rank share of each row's signals that are not null, in whatever order they arrive; 0 without any."""
     inner = [c for c in signals.columns if c != key]
     if not inner:
         return signals.select(key, F.lit(0.0).alias("score"))
-    known = rank_shares(signals, key, inner).groupBy(key).agg(F.avg("share").alias("score"))
-    return signals.select(key).join(known, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
+    known = rank_means(signals, key, inner)
+    return signals.select(key).join(known, key, "left").select(key, F.coalesce("mean", F.lit(0.0)).alias("score"))
 
 
 def otsu(scored: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,14 @@ def test_typology(spark):
         C.ranking(df.select("ref", "note"), "ref")
 
 
+def test_rank_score_is_the_double_nearest_to_the_mean(spark):
+    """Shares added as doubles end in a last bit that hangs on their order, which decides how a mean halfway between two roundings is rounded."""
+    n = 10
+    rows = [(i, float(i), float(i * 3 % n), float(i * 7 % n)) for i in range(n)]
+    got = {r.ref: r.score for r in C.rank_score(spark.createDataFrame(rows, "ref long, a double, b double, c double"), "ref").collect()}
+    assert got == {i: float(Fraction(sum(int(x) + 1 for x in xs), 3 * n)) for i, *xs in rows}
+
+
 def test_router():
     assert C.route(60, 100, True) == C.route(60, 100, False) == "SCORE_ONLY"
     assert C.route(20, 100, True) == "FITTED_ON_SHARED_COLUMNS" and C.route(20, 100, False) == "TYPOLOGY_RANKING"
